@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from . import decontaminate, token_file, warc
+from .common import Scratch, read
 from .exact_dedup import exact_dedup
 from .mix_sources import mix_sources, word_count
 from .shard import SHARDS, SLOTS, fill, shard
@@ -66,5 +67,53 @@ def shard_sql() -> str:
 
 OP3_SQL = f"SELECT doc_id, {shard_sql()} FROM documents"
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup, "op2_mix_sources": op2_mix_sources, "op3_shard": op3_shard}
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL, "op2_mix_sources": OP2_SQL, "op3_shard": OP3_SQL}
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_file.encode_documents(read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), "page_id", "url", "html", Scratch(spark, "warc").path("archives"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> p.page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 100"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def contained_sql(documents: str = "documents") -> str:
+    """Common table expressions; the last, ``pairs``, has doc_id, item_id, item_shingles, shared."""
+    cut = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END"""
+    return f"""
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM {documents}),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest({cut}) AS s FROM dw),
+its AS (SELECT DISTINCT item_id, unnest({cut}) AS s FROM iw),
+n AS (SELECT item_id, count(*) AS item_shingles FROM its GROUP BY 1),
+sh AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN its USING (s) GROUP BY 1, 2),
+pairs AS (SELECT doc_id, item_id, item_shingles, shared FROM sh JOIN n USING (item_id) WHERE shared * 100 >= item_shingles * 80)"""
+
+
+OP10_SQL = f"WITH {contained_sql()}\nSELECT *, shared / item_shingles AS containment FROM pairs"
+
+QUERIES = {
+    "op1_token_file": op1_token_file,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_shard": op3_shard,
+    "op5_warc": op5_warc,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op3_shard": OP3_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
