@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, token_file, warc
+from . import decontaminate, language_id, lm_score, token_file, warc
 from .common import Scratch, read
 from .exact_dedup import exact_dedup
 from .mix_sources import mix_sources, word_count
@@ -108,7 +108,22 @@ pairs AS (SELECT doc_id, item_id, item_shingles, shared FROM sh JOIN n USING (it
 
 OP10_SQL = f"WITH {contained_sql()}\nSELECT *, shared / item_shingles AS containment FROM pairs"
 
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.filter(~held), "doc_id", "text", "lang")
+    return language_id.classify(docs.select("doc_id", "text", held.alias("held_out")), model, "text").select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
+    "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op1_token_file": op1_token_file,
     "op2_mix_sources": op2_mix_sources,
     "op3_shard": op3_shard,
