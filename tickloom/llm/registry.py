@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, lm_score, ngram_join, token_file, warc
+from . import decontaminate, language_id, lm_score, ngram_join, suffix_dedup, token_file, warc
 from .common import Scratch, read
 from .exact_dedup import exact_dedup
 from .mix_sources import mix_sources, word_count
@@ -125,7 +125,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
     "op8_lm_score": op8_lm_score,
