@@ -1,10 +1,92 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Every stage works on all rows its predecessor kept, and its decision takes effect: language ID drops documents without
+a language, the Jaccard join keeps one document of each class, decontamination drops documents that hold a benchmark
+item, mixing repeats or drops rows by its plan, sharding adds slot and shard. All but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontaminate, language_id, ngram_join, registry
+from tickloom.llm.common import Scratch, read, small_batches
+from tickloom.llm.mix_sources import mix_rows, word_count
+from tickloom.llm.shard import shard
+
+#: Up to so many ids are broadcast to pick rows by; beyond, they are joined.
+BROADCAST_IDS = 2_000_000
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs with (left_semi) or without (left_anti) an id of ids; null equals null."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that have no language: null text, or no letter in it."""
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    with small_batches(spark):
+        known = language_id.classify(docs, model, "text", "_lang", "_score").filter(F.col("_lang") != language_id.UND)
+        return Scratch(spark, "stage-language").save(known.select(docs.columns), "docs")
+
+
+def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each class of similar documents the one with the smallest id (of rows that share it, the first by text)."""
+    classes = Scratch(spark, "stage-join").save(ngram_join.link_classes(docs, "doc_id", "text"), "classes")
+    repeated = not classes.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
+    kept = by_id(docs, classes.filter("component_id <> doc_id"), "left_anti")
+    if repeated:
+        order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"])
+        kept = kept.withColumn("_r", F.row_number().over(order)).filter("_r = 1 OR doc_id IS NULL").drop("_r")
+    return kept
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return by_id(docs, decontaminate.find_contained(docs, read(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    mixed = mix_rows(docs, "doc_id", "source", word_count(F.col("text")))
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The slot and shard of each row."""
+    return shard(docs, F.col("doc_id"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("ngram_join", join_similar),
+    ("decontaminate", decontaminate_benchmark),
+    ("mix_sources", mix),
+    ("shard", assign_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return docs
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+ORACLE_SQL = f"""WITH RECURSIVE
+p1 AS (SELECT * FROM documents WHERE regexp_matches(text, '\\p{{L}}')),
+{registry.linked_sql("p1")},
+p2 AS (SELECT p1.* FROM p1 JOIN classes USING (doc_id) WHERE component_id = p1.doc_id),
+{registry.contained_sql("p2")},
+p3 AS (SELECT * FROM p2 WHERE doc_id NOT IN (SELECT doc_id FROM pairs)),
+{registry.mix_sql("p3")},
+p4 AS (SELECT p3.* FROM p3 JOIN d USING (doc_id) JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source
+  LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h JOIN range(1, 3) t(i) ON i <= copies + CASE WHEN k.h IS NULL THEN 0 ELSE 1 END)
+SELECT *, {registry.shard_sql()} FROM p4"""

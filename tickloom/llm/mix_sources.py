@@ -60,7 +60,14 @@ def _crossing(hist: DataFrame, by: list[str], bucket: str) -> DataFrame:
 
 
 def mix_sources(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """One row per input row: id, size, source_size, target (its source's), taken (size times the copies the mix takes)."""
+    """One row per input row: id, size, source_size, target (its source's), taken (size times copies), copies the mix takes."""
+    slim = df.select(F.col(id_col), F.col(source_col), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    slim = Scratch(df.sparkSession, "mixed").save(slim, "rows")
+    return mix_rows(slim, id_col, source_col, F.col("size"), weights, share, most).select(id_col, "size", "source_size", "target", "taken", "copies")
+
+
+def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """df with size, source_size, target, taken and copies. Columns of df with these names are replaced."""
     scratch = Scratch(df.sparkSession, "mix")
     rows = scratch.save(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size")).withColumn("h", id_hash(F.col("id"))), "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -87,5 +94,9 @@ def mix_sources(df: DataFrame, id_col: str, source_col: str, size: Column, weigh
     cuts = joined(cross1, last.select("source", "h"), ["source"], "left").select("source", F.coalesce("h", F.shiftleft(F.col("b1"), 60 - 2 * BITS) - 1).alias("cut"))
     plan = joined(plan, cuts, ["source"], "left").select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(-1)).alias("cut"))
     plan = scratch.save(plan, "cuts")
-    copies = F.col("copies") + (F.col("h") <= F.col("cut")).cast("long")
-    return joined(rows, plan, ["source"]).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("copies").alias("_copies"), F.col("cut").alias("_cut"))
+    gone = [c for c in ("size", "source_size", "target", "taken", "copies") if c in df.columns]
+    sized = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).drop(*gone).withColumn("copies", id_hash(F.col(id_col)))
+    out = sized.join(_small(plan, few), F.col(source_col).eqNullSafe(F.col("_source"))).withColumnRenamed("_size", "size")
+    copies = F.col("_copies") + (F.col("copies") <= F.col("_cut")).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_copies", "_cut")

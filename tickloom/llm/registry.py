@@ -28,7 +28,7 @@ FROM t JOIN g USING (n)"""
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents"), "doc_id", "source", word_count(F.col("text")), (5, 2, 1), 1.5, 2)
+    return mix_sources(read(spark, sf_dir, "documents"), "doc_id", "source", word_count(F.col("text")), (5, 2, 1), 1.5, 2).drop("copies")
 
 
 def mix_sql(documents: str = "documents") -> str:
@@ -121,6 +121,24 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def linked_sql(documents: str = "documents") -> str:
+    """Common table expressions; the last, ``classes``, has doc_id, n_shingles, component_id."""
+    return f"""
+jw AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM {documents}),
+js AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM jw),
+jn AS (SELECT doc_id, count(*) AS n FROM js GROUP BY 1),
+jo AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM js a JOIN js b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM jo JOIN jn x ON x.doc_id = a JOIN jn y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY 1),
+classes AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+  FROM {documents} d LEFT JOIN jn ON jn.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id)"""
+
+
+OP6_SQL = f"WITH RECURSIVE {linked_sql()}\nSELECT * FROM classes"
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -141,4 +159,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op3_shard": OP3_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL = {"op2_mix_sources": OP2_SQL, "op3_shard": OP3_SQL, "op5_warc": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
