@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import indicators, scalars  # noqa: F401
+from .operators import events, factors, fronts, risk, signals  # noqa: F401
 from .plans.core import RELATIONS, build, statement
 from .sources import bars  # noqa: F401
 
 #: Building blocks with unrounded doubles; queries over them are registered, they aren't.
-INTERNAL = {"bar_steps", "bar_flows", "ind_rolling", "ind_cci", "ind_recursive", "ind_all"}
+INTERNAL = {"bar_steps", "bar_flows", "ind_rolling", "ind_cci", "ind_recursive", "ind_all", "signal_base", "signal_rows", "score_parts", "scores", "multifactor_score", "factor_j", "factor_values", "factor_ranks", "forward_returns", "front_pool", "front_masks", "es63", "risk_rows", "bar_steps_ret", "adjusted_rows", "topn_trades", "front_layer_1"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

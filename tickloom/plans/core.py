@@ -16,8 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 #: What Spark and the comparison engine name differently.
-_SPARK = {"@percentile(": "percentile(", "@days(": "datediff(", "@list(": "array(", "@text": "STRING", "@arg_first(": "min_by(", "@jsonint(": "get_json_object("}
-_DUCK = {"@percentile(": "quantile_cont(", "@list(": "list_value(", "@text": "VARCHAR", "@arg_first(": "min_by(", "@jsonint(": "json_extract_string("}
+_SPARK = {"@percentile(": "percentile(", "@days(": "datediff(", "@list(": "array(", "@text": "STRING", "@arg_first(": "min_by(", "@pair(": "struct("}
+_DUCK = {"@percentile(": "quantile_cont(", "@list(": "list_value(", "@text": "VARCHAR", "@arg_first(": "min_by(", "@pair(": "row("}
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 RELATIONS: dict[str, "Relation | Native"] = {}
