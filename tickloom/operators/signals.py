@@ -77,10 +77,10 @@ ATOMS = {
     "q_institution": "CASE WHEN rn <= 60 THEN 0 WHEN ret5 < -3 AND vol61 < 25 THEN 1 WHEN ret20 < -10 AND vol61 < 25 THEN 1 WHEN ret5 < -3 AND vol61 > 40 THEN -1 ELSE 0 END",
 }
 _ALL = [*ATOMS, *(f"v_{n}" for n in VOTES)]
+_INLINE = ", ".join(f"CASE WHEN rn < 60 THEN 0 ELSE {vote(*c)} END AS v_{n}" for n, c in VOTES.items())
 Relation(
     "atoms",
-    "SELECT s.code, s.d, " + ", ".join(f"{x} AS {n}" for n, x in ATOMS.items()) + ", " + ", ".join(f"v.v_{n}" for n in VOTES)
-    + ", coalesce(s.rn > 250 AND s.volume > 0 AND s.rsi IS NOT NULL, false) AS eligible, coalesce(s.rsi <= 92 AND s.obv_flow >= -0.6, false) AS gate FROM {signal_rows} s JOIN (SELECT code, d, " + ", ".join(f"v_{n}" for n in VOTES) + " FROM {votes18}) v ON v.code = s.code AND v.d = s.d",
+    "SELECT code, d, " + ", ".join(f"{x} AS {n}" for n, x in ATOMS.items()) + f", {_INLINE}, coalesce(rn > 250 AND volume > 0 AND rsi IS NOT NULL, false) AS eligible, coalesce(rsi <= 92 AND obv_flow >= -0.6, false) AS gate FROM {{signal_rows}}",
 )
 #: Each row's atoms as two bit masks: not negative, and positive.
 Relation(
@@ -98,7 +98,7 @@ RULES = {
     "p": ["CASE WHEN pos250 < 25 THEN 20 WHEN pos250 < 40 THEN 10 WHEN pos250 > 80 THEN -15 ELSE 0 END", "CASE WHEN chg250 > 20 THEN 10 WHEN chg250 < -20 THEN -10 ELSE 0 END"],
     "q": ["CASE WHEN obv_flow > 0.4 THEN 12 WHEN obv_flow < -0.4 THEN -12 ELSE 0 END", "CASE WHEN chg5 > 0 AND obv_flow < -0.2 THEN -18 WHEN chg5 < 0 AND obv_flow > 0.2 THEN 12 ELSE 0 END", "CASE WHEN rn <= 60 THEN 0 WHEN ret5 < -3 AND vol61 < 25 THEN 10 WHEN ret20 < -10 AND vol61 < 25 THEN 15 WHEN ret5 < -3 AND vol61 > 40 THEN -8 ELSE 0 END"],
 }
-Relation("score_parts", "SELECT s.code, s.d, s.rn, s.open, s.close, s.high, s.top, s.dif, s.rsi, s.rv, s.obv_flow, c.consensus, " + ", ".join("50 + " + " + ".join(r) + f" AS {p}_score" for p, r in RULES.items()) + " FROM {signal_rows} s JOIN {consensus} c ON c.code = s.code AND c.d = s.d")
+Relation("score_parts", "SELECT code, d, rn, open, close, high, top, dif, rsi, rv, obv_flow, CAST(floor((" + _SUM + ") / 18.0 * 1000 + 0.5) AS DOUBLE) / 10 AS consensus, " + ", ".join("50 + " + " + ".join(r) + f" AS {p}_score" for p, r in RULES.items()) + f" FROM (SELECT s.*, {_INLINE} FROM {{signal_rows}} s) x")
 Relation("scores", "SELECT x.*, CAST(0.40 * m_score + 0.30 * f_score + 0.15 * p_score + 0.15 * q_score AS DOUBLE) AS base, CAST(0.40 * m_score + 0.30 * f_score + 0.15 * p_score + 0.15 * q_score - 0.08 * consensus AS DOUBLE) AS s_star, coalesce(obv_flow >= -0.6 AND rv <= 92 AND NOT (m_score < 35 AND f_score < 40), false) AS gate FROM {score_parts} x")
 Relation("comprehensive_score", f"SELECT code, d, m_score, f_score, p_score, q_score, consensus, {q('base')} AS base, {q('s_star')} AS s_star, gate FROM {{scores}} WHERE dif IS NOT NULL")
 Relation(

@@ -72,15 +72,34 @@ class Native:
         return self.function(**{k: frames[k] for k in self.inputs})
 
 
-def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+#: Relations that cost much and are read by several others. Where a query reads one more than once it is cached (memory,
+#: then disk): the plan stays small, and its exchanges run once.
+KEEP = {"ind_all", "signal_rows", "scores", "atom_masks", "front_masks", "fronts", "factors", "composite", "replay_rows", "ledger_all", "accounts"}
+
+
+def uses(name: str, found: dict[str, int] | None = None) -> dict[str, int]:
+    """How often each relation below ``name`` is read."""
+    found = {} if found is None else found
+    r = RELATIONS.get(name)
+    for i in r.inputs if r else ():
+        first = i not in found
+        found[i] = found.get(i, 0) + (r.sql.count(f"{{{i}}}") if isinstance(r, Relation) else 2)
+        if first:
+            uses(i, found)
+    return found
+
+
+def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None, read: dict[str, int] | None = None) -> DataFrame:
     """The relation over the tables of a folder; each input is planned once."""
     made = {} if made is None else made
+    read = uses(name) if read is None else read
     if name not in made:
         if name in TABLES:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         else:
             r = RELATIONS[name]
-            made[name] = r(**{i: build(spark, sf_dir, i, made) for i in r.inputs})
+            df = r(**{i: build(spark, sf_dir, i, made, read) for i in r.inputs})
+            made[name] = df.cache() if name in KEEP and read.get(name, 0) > 1 else df
     return made[name]
 
 
