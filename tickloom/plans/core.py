@@ -9,7 +9,12 @@ say the same, a separate statement to compare it with.
 
 from __future__ import annotations
 
+import atexit
+import functools
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -72,11 +77,27 @@ class Native:
         return self.function(**{k: frames[k] for k in self.inputs})
 
 
-#: Relations that cost much and are read by several others. Where a query reads one more than once it is cached (memory,
-#: then disk): the plan stays small, and its exchanges run once.
+#: Relations that cost much and are read by several others. Where a query reads one more than once it is written
+#: once: the plan stays small, its exchanges run once, and a lost executor costs a reread.
 KEEP = {"ind_all", "signal_rows", "scores", "atom_masks", "front_masks", "fronts", "factors", "composite", "replay_rows", "ledger_all", "accounts"}
 
 
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df, written to and read from the folder that driver and executors share (a local one only where none is set)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def uses(name: str, found: dict[str, int] | None = None) -> dict[str, int]:
     """How often each relation below ``name`` is read."""
     found = {} if found is None else found
@@ -99,7 +120,7 @@ def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
         else:
             r = RELATIONS[name]
             df = r(**{i: build(spark, sf_dir, i, made, read) for i in r.inputs})
-            made[name] = df.cache() if name in KEEP and read.get(name, 0) > 1 else df
+            made[name] = keep(df, name) if name in KEEP and read.get(name, 0) > 1 else df
     return made[name]
 
 
