@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .bwt import window_classes
 from .common import Scratch, blocks, flat, mix, powers, prefix_hash, small_batches, span_hash, width
 
-WINDOW, GRAM, HOT, TEXT_BYTES = 100, 24, 2000, 1 << 21
+WINDOW, GRAM, HOT, TEXT_BYTES = 100, 24, 12000, 1 << 20
 BROADCAST_ANCHORS = 1_000_000
 _OTHER = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
