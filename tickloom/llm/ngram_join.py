@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, flat, mix, settings, shingles, small_batches, width, words
 from .components import components
 
-SLICES = 64
+#: Counts carried with the members of a group, and with the pairs that those leave open.
+SLICES, FINE_SLICES = 64, 512
 BROADCAST_IDS = 2_000_000
 
 
@@ -73,11 +74,11 @@ class Sets:
             out.append(c[self.by[1:]] - c[self.by[:-1]])
         return out[0], out[1]
 
-    def slices(self) -> np.ndarray:
-        """(sets, SLICES) of counts by slice of the hash domain, at most 255. Their distance bounds the difference from below."""
+    def slices(self, n: int) -> np.ndarray:
+        """(sets, n) of counts by slice of the hash domain, at most 255. Their distance bounds the difference from below."""
         owner = np.repeat(np.arange(len(self.size)), self.size)
-        at = owner * SLICES + (mix(self.values) >> np.uint64(58)).astype(np.int64)
-        return np.minimum(np.bincount(at, minlength=len(self.size) * SLICES), 255).astype(np.uint8).reshape(-1, SLICES)
+        at = owner * n + (mix(self.values) >> np.uint64(65 - n.bit_length())).astype(np.int64)
+        return np.minimum(np.bincount(at, minlength=len(self.size) * n), 255).astype(np.uint8).reshape(-1, n)
 
     def signatures(self, percent: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, index of set) of the sets in use."""
@@ -121,7 +122,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, s in _sets(b, "text"):
             x, y = s.sums()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([r.tobytes() for r in s.slices()], pa.binary())], names=["doc_id", "n", "x", "y", "slices"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([r.tobytes() for r in s.slices(SLICES)], pa.binary())], names=["doc_id", "n", "x", "y", "slices"])
 
 
 def _sign(percent: int):
@@ -209,6 +210,27 @@ def _across(percent: int):
     return run
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, s in _sets(b, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array([r.tobytes() for r in s.slices(FINE_SLICES)], pa.binary())], names=["doc_id", "n", "fine"])
+
+
+def _near(percent: int):
+    """Of pairs with sizes and fine counts: those whose bound doesn't exclude similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_SLICES).astype(np.int16) for c in ("fa", "fb"))
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            ok = pa.array(np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= total * (100 - percent))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,11 +296,18 @@ def link_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 80) -
     if not open_pairs.isEmpty():
         sigs = stars.join(some(open_pairs), ["lead", "doc"], "left_semi").select("sig").distinct()
         rows = scratch.save(stars.join(some(scratch.save(sigs, "sigs")), "sig", "left_semi"), "mixed")
-        members = rows.select("sig", "doc").union(rows.select("sig", F.col("lead").alias("doc"))).distinct()
+        members = scratch.save(rows.select("sig", "doc").union(rows.select("sig", F.col("lead").alias("doc"))).distinct(), "members")
+        # Similar documents share many signatures: of groups with the same members one is compared.
+        marks = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.count("*").alias("k"))
+        members = members.join(marks.groupBy("x", "y", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
         details = meta.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "slices").dropDuplicates(["doc", "n", "slices"])
         members = with_class(members.join(details, "doc"), "doc", "comp").select("sig", "doc", "comp", "n", "slices")
         with small_batches(spark, 4096):
             maybe = scratch.save(members.repartition(width(spark), "sig").sortWithinPartitions("sig").mapInArrow(_across(percent), "a long, b long").distinct(), "maybe")
-        classes = scratch.save(components(links.union(verified(maybe, "second")), scratch, "d"), "final")
+            need = maybe.select(F.col("a").alias("doc_id")).union(maybe.select(F.col("b").alias("doc_id"))).distinct()
+            fine = scratch.save(docs.join(some(scratch.save(need, "fine-need")), "doc_id", "left_semi").mapInArrow(_sketch, "doc_id long, n long, fine binary"), "fine")
+            one, two = (fine.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in "ab")
+            near = scratch.save(maybe.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+        classes = scratch.save(components(links.union(verified(near, "second")), scratch, "d"), "final")
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(classes, F.col("doc_id") == F.col("node"), "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
