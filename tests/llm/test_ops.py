@@ -1,6 +1,7 @@
 """Each operator on a small table of hard cases, against a plain version."""
 
 import hashlib
+import importlib
 import re
 import zlib
 from collections import Counter
@@ -15,6 +16,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.mix_sources import mix_sources, targets, word_count
 from tickloom.llm.shard import fill, shard
 
+exact_dedup_module = importlib.import_module("tickloom.llm.exact_dedup")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, size long, id string, k string, _slot string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -66,7 +68,10 @@ def split(t):
 
 @pytest.mark.parametrize("keep", ["min", "max"])
 @pytest.mark.parametrize("poor", [False, True])
-def test_exact_dedup(docs, keep, poor):
+@pytest.mark.parametrize("few", [500_000, 1])
+def test_exact_dedup(docs, keep, poor, few, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "BROADCAST_GROUPS", few)
+    monkeypatch.setattr(exact_dedup_module, "LARGE", 2)
     weak = (lambda t: F.encode((F.length(t) % 3).cast("string"), "utf-8")) if poor else None
     got = {r.doc_id: r for r in exact_dedup(docs, "doc_id", "text", keep, weak).collect()}
     by = {}

@@ -1,8 +1,10 @@
 """Exact deduplication: group by a 128-bit content hash, keep one stable id, compare bytes inside the groups.
 
 Only (id, hash, digest) rows are grouped, with partial aggregation, so a group of a third of all rows costs one row a
-task. Texts move only for rows whose hash repeats; there each text is compared with the group's representative, and
-rows that differ (a collision) are grouped anew by their bytes.
+task. Where a hash repeats, its smallest and largest text are taken, also with partial aggregation: if they differ,
+the hash stands for several texts (a collision), and its rows are grouped anew by the SHA-256 of their text. The
+groups with several rows are broadcast to the rows; if they are too many for that, those of over LARGE rows are, of
+which there can't be many, and the rest are joined.
 
 Defined results: null text counts as empty; a null id sorts below all others (it is kept last under "max", first under
 "min"); of rows that share the kept id exactly one is kept; an empty table gives an empty result; other columns are
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Scratch
 
-#: Up to so many repeated hashes (16 bytes each) are broadcast to pick the rows to compare; beyond, they are joined.
-BROADCAST_HASHES = 1_000_000
+#: Up to so many groups (a hash, two numbers and a count each) are broadcast.
+BROADCAST_GROUPS = 500_000
+#: A group of more rows than this is never dealt to one task by its hash.
+LARGE = 100_000
 
 
 def folded(text: Column) -> Column:
@@ -40,17 +44,18 @@ def exact_dedup(df: DataFrame, id_col: str, text_col: str, keep: str = "min", co
     groups = scratch.save(keys.groupBy("h").agg(best.alias("k"), F.count("*").alias("n")), "groups")
 
     repeated = groups.filter("n > 1")
-    few = repeated.count() <= BROADCAST_HASHES
-    hashes = repeated.select("h")
-    rows = docs.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
-    leads = rows.join(repeated.select("h", F.col("k.id").alias("kid")), "h").filter(F.col("id").eqNullSafe(F.col("kid"))).groupBy("h").agg(F.min("t").alias("lead"))
-    odd = scratch.save(rows.join(leads, "h").filter("t <> lead").select("h", "id", "t", F.unhex(F.sha2("t", 256)).alias("sha")), "odd")
-
-    out = keys.join(groups, "h")
-    if not odd.isEmpty():
-        # A hash that stands for several texts: all its rows are grouped by hash and digest of the texts that differ.
-        apart = odd.select("h", "sha").distinct()
-        split = keys.join(apart.withColumn("part", F.col("sha")), ["h", "sha"], "left")
-        regrouped = split.groupBy("h", "part").agg(best.alias("k"), F.count("*").alias("n"))
-        out = split.alias("a").join(regrouped.alias("b"), (F.col("a.h") == F.col("b.h")) & F.col("a.part").eqNullSafe(F.col("b.part"))).select("a.id", "a.row", "a.sha", "b.k", "b.n")
+    few = repeated.count() <= BROADCAST_GROUPS
+    rows = docs.join(F.broadcast(repeated.select("h")), "h", "left_semi") if few else docs
+    mixed = scratch.save(rows.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high").select("h"), "mixed")
+    if not mixed.isEmpty():
+        keys = scratch.save(keys.join(mixed.withColumn("mixed", F.lit(True)), "h", "left").withColumn("h", F.when(F.col("mixed"), F.concat("h", "sha")).otherwise(F.col("h"))).drop("mixed"), "apart")
+        groups = scratch.save(keys.groupBy("h").agg(best.alias("k"), F.count("*").alias("n")), "regrouped")
+        repeated = groups.filter("n > 1")
+        few = repeated.count() <= BROADCAST_GROUPS
+
+    found = keys.join(F.broadcast(repeated if few else groups.filter(F.col("n") > LARGE)), "h", "left")
+    if few:
+        out = found.withColumn("k", F.coalesce("k", F.struct("id", "row"))).withColumn("n", F.coalesce("n", F.lit(1)))
+    else:
+        out = found.filter("n IS NOT NULL").unionByName(found.filter("n IS NULL").drop("k", "n").join(groups, "h"))
     return out.select(F.col("id").alias(id_col), F.col("k.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("k.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
