@@ -254,6 +254,21 @@ def test_suffix_dedup(docs, none, twice, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(twice, "doc_id", "text").count() == twice.count()
 
 
+def test_seen_runs_are_earlier_and_hot_ones_are_found():
+    r = np.random.default_rng(8)
+    seen, met, found = suffix_dedup.Seen(6), set(), 0
+    for _ in range(200):
+        run = r.integers(0, 90, 50).astype(np.uint64)
+        place = r.permutation(400)[:50]
+        anchor, key, a = run >> np.uint64(2), place // 20, (place % 20).astype(np.int32)
+        got = seen.repeated(anchor, run, key, a)
+        met |= set(zip(run.tolist(), key.tolist(), a.tolist(), strict=True))
+        least = {x: min(m[1:] for m in met if m[0] == x) for x in set(run.tolist())}
+        assert all((k, p) > least[x] for x, k, p, g in zip(run.tolist(), key.tolist(), a.tolist(), got.tolist(), strict=True) if g)
+        found += got.sum()
+    assert found > 5000
+
+
 # ---- WARC ------------------------------------------------------------------------------------------------------------
 
 

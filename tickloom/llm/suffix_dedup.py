@@ -2,7 +2,8 @@
 
 A Burrows-Wheeler transform of a corpus doesn't fit a machine, so content decides which windows meet. Each window's
 anchor is the smallest hash among its GRAM-byte strings; neighbouring windows with one anchor make a run. Equal
-windows have equal anchors. Runs are dealt by anchor and read as a sorted stream: an anchor that occurs once is done;
+windows have equal anchors. A task removes repeats among its own runs first, so a large group of copies sends the runs
+of about one copy a task. Runs are dealt by anchor and read as a sorted stream: an anchor that occurs once is done;
 of equal runs all but the first are repeats in whole. What remains are anchors with several different runs, at the
 edges of repeated passages. First occurrences of these, with their bytes, are put into texts of bounded size by anchor,
 and their equal windows found by bounded interval expansion on each text's transform (bwt.py). An anchor with more
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import Scratch, blocks, flat, mix, powers, prefix_hash, small_batch
 
 WINDOW, GRAM, HOT, TEXT_BYTES = 100, 24, 12000, 1 << 20
 BROADCAST_ANCHORS = 1_000_000
+#: Slots of a task's table of runs: 2 to this power, of 28 bytes.
+SEEN_BITS = 19
 _OTHER = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
 
@@ -69,20 +73,71 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int
     return text, start - offsets[text], last - start + 1, grams[anchor[start]], span_hash(prefix, start, last + window)
 
 
+class Seen:
+    """The runs that a task has met, as far as a table of fixed size holds them, with the earliest place of each."""
+
+    def __init__(self, bits: int = SEEN_BITS):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.anchor, self.run = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.key, self.a = np.full(1 << bits, np.iinfo(np.int64).max), np.full(1 << bits, np.iinfo(np.int32).max, np.int32)
+
+    def repeated(self, anchor: np.ndarray, run: np.ndarray, key: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Which of these runs are known to occur earlier in the corpus. False for others, even if they do."""
+        order = np.lexsort((a, key, run, anchor))
+        first = np.ones(len(order), bool)
+        first[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (run[order[1:]] != run[order[:-1]])
+        out = np.empty(len(order), bool)
+        out[order] = ~first
+        lead = order[first]
+        slot = (run[lead] & self.mask).astype(np.int64)
+        earlier = (self.key[slot] < key[lead]) | ((self.key[slot] == key[lead]) & (self.a[slot] < a[lead]))
+        hit = (self.anchor[slot] == anchor[lead]) & (self.run[slot] == run[lead]) & earlier
+        out[lead[hit]] = True
+        slot, lead = slot[~hit], lead[~hit]
+        self.anchor[slot], self.run[slot], self.key[slot], self.a[slot] = anchor[lead], run[lead], key[lead], a[lead]
+        return out
+
+
+def _joined(text: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in order of text and start, with those that follow each other made one: (text, start, number of starts)."""
+    new = np.ones(len(a), bool)
+    new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return text[at], a[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs to be dealt by anchor. Those that the task knows to be repeats are joined to long ones, with n negative and dealt anywhere."""
+    seen = Seen()
     for b in batches:
         data, offsets = flat(b.column("text"))
         keys = b.column("key").to_numpy()
         for i, j in blocks(offsets):
             t, a, n, anchor, run = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if len(t):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(keys[i + t]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "run", "key", "a", "n"])
+                copy = seen.repeated(anchor, run, keys[i + t], a.astype(np.int32))
+                ct, ca, cn = _joined(t[copy], a[copy], n[copy])
+                ck, new = keys[i + ct], ~copy
+                spread = mix(ck.astype(np.uint64) * np.uint64(31) + ca.astype(np.uint64))
+                columns = (
+                    np.concatenate([anchor[new], spread]).view(np.int64), np.concatenate([run[new], np.zeros(len(ck), np.uint64)]).view(np.int64), np.concatenate([keys[i + t[new]], ck]),
+                    np.concatenate([a[new], ca]).astype(np.int32), np.concatenate([n[new], -cn]).astype(np.int32),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "run", "key", "a", "n"])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, run, key, a): repeats of a run (copy), and the first of each run whose anchor has several."""
+    """Of rows sorted by (anchor, run, key, a): repeats of a run (copy), and the first of each run whose anchor has several.
+
+    Rows with negative n are known repeats and only pass through.
+    """
     anchor = run = pending = None  # pending: the only run so far of the last anchor
     for b in batches:
+        known = pc.less(b.column("n"), 0)
+        if pc.any(known).as_py():
+            c = b.filter(known)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(c.num_rows, bool)), c.column("anchor"), c.column("key"), c.column("a"), pc.negate(c.column("n"))], names=["copy", "anchor", "key", "a", "n"])
+            b = b.filter(pc.invert(known))
         m = b.num_rows
         if not m:
             continue
