@@ -7,7 +7,10 @@ of about one copy a task. Runs are dealt by anchor and read as a sorted stream:
 of equal runs all but the first are repeats in whole. What remains are anchors with several different runs, at the
 edges of repeated passages. First occurrences of these, with their bytes, are put into texts of bounded size by anchor,
 and their equal windows found by bounded interval expansion on each text's transform (bwt.py). An anchor with more
-than HOT different runs doesn't go into one text: its windows' hashes (128 bits) are grouped with partial aggregation.
+than HOT different runs (a common phrase) doesn't go into one text: its runs are cut in parts of up to STEP windows at
+fixed distances from the anchor, and dealt anew by all the bytes that the windows of a part have in common. Most parts
+are alone then. Where more than HOT different ones still meet (at the edge of a common passage of about a window), the
+hashes of their windows (128 bits) are grouped with partial aggregation.
 
 Defined results: null text is empty; texts shorter than WINDOW lose nothing but can't be a source either; a null id is
 the smallest; rows with equal ids are ordered by their text; a row per row is returned, in an empty table none; other
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .bwt import window_classes
 from .common import Scratch, blocks, flat, mix, powers, prefix_hash, small_batches, span_hash, width
 
-WINDOW, GRAM, HOT, TEXT_BYTES = 100, 24, 12000, 1 << 20
+WINDOW, GRAM, STEP, HOT, TEXT_BYTES = 100, 24, 8, 2000, 1 << 20
 BROADCAST_ANCHORS = 1_000_000
 #: Slots of a task's table of runs: 2 to this power, of 28 bytes.
 SEEN_BITS = 19
@@ -223,6 +226,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], names=["anchor", "key", "a", "body"])
 
 
+def parts(data: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of a text, in order, in parts of up to STEP windows: (first start, number of starts, hash of the anchor and the shared bytes, content hash)."""
+    base, prefix = int(start[0]), prefix_hash(data[int(start[0]) : int((start + n).max()) + WINDOW - 1])
+    _, down = powers(len(prefix))
+    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(prefix) - GRAM])
+    size = n + WINDOW - GRAM
+    first = np.cumsum(size) - size
+    at = np.repeat(start - base - first, size) + np.arange(int(size.sum()))
+    place = np.minimum.reduceat(np.where(grams[at] == np.repeat(anchor, size), at, len(data)), first) + base
+
+    first = np.cumsum(n) - n
+    inner = np.repeat(start - first, n) + np.arange(int(n.sum()))
+    back = np.repeat(place, n) - inner
+    new = back % STEP == STEP - 1
+    new[first] = True
+    cut = np.flatnonzero(new)
+    count = np.diff(np.append(cut, len(new)))
+    step, a = back[cut] // STEP, inner[cut]
+    owner = np.searchsorted(first, cut, "right") - 1
+    shared = place[owner] - step * STEP - base
+    common = span_hash(prefix, shared, shared + WINDOW - STEP + 1)
+    return a, count, mix(common ^ mix(anchor[owner] + step.astype(np.uint64))), span_hash(prefix, a - base, a - base + count + WINDOW - 1)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the runs of each document, as runs with another anchor."""
+    for b in batches:
+        for k, t, rs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist(), strict=True):
+            data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
+            rs = sorted((r["a"], r["n"], r["anchor"]) for r in rs)
+            for lo in range(0, len(rs), 1024):
+                start, n, anchor = (np.array(c, np.int64) for c in zip(*rs[lo : lo + 1024], strict=True))
+                a, count, x, run = parts(data, start, n, anchor.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(run.view(np.int64)), pa.array(np.full(len(a), k)), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "run", "key", "a", "n"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all windows of the runs of each document."""
     for b in batches:
@@ -261,24 +300,31 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, a, z): bytes a to z of text ``key`` that earlier text has, as spans that may overlap. docs has key and text."""
     spark = docs.sparkSession
-    with small_batches(spark):
-        dealt = docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs, "anchor long, run long, key long, a int, n int").repartition(width(spark), "anchor").sortWithinPartitions("anchor", "run", "key", "a")
-        found = scratch.save(dealt.mapInArrow(_sift, "copy boolean, anchor long, key long, a int, n int"), "found")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return docs.join(rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "n")).alias("runs")), "key")
+
+    def sifted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Of runs: repeats as spans, first ones of anchors that fit in a text, first ones of others if there are any."""
+        dealt = rows.repartition(width(spark), "anchor").sortWithinPartitions("anchor", "run", "key", "a")
+        found = scratch.save(dealt.mapInArrow(_sift, "copy boolean, anchor long, key long, a int, n int"), name)
         copies = found.filter("copy").select("key", "a", (F.col("a") + F.col("n") + (WINDOW - 1)).alias("z"))
         firsts = found.filter("NOT copy").select("anchor", "key", "a", "n")
-        hot = scratch.save(firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor"), "hot")
+        hot = scratch.save(firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor"), f"{name}-hot")
         n_hot = hot.count()
-        hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
+        side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
+        return (copies, firsts.join(side, "anchor", "left_anti"), firsts.join(side, "anchor", "left_semi")) if n_hot else (copies, firsts, None)
 
-        def with_text(rows: DataFrame) -> DataFrame:
-            return docs.join(rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "n")).alias("runs")), "key")
-
-        cold = firsts.join(hot_side, "anchor", "left_anti") if n_hot else firsts
+    with small_batches(spark):
+        schema = "anchor long, run long, key long, a int, n int"
+        spans, cold, hot = sifted(docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs, schema), "found")
+        if hot is not None:
+            copies, more, hot = sifted(with_text(hot).mapInArrow(_parts, schema), "parts")
+            spans, cold = spans.union(copies), cold.union(more)
         cut = with_text(cold).mapInArrow(_cut, "anchor long, key long, a int, body binary")
-        edges = scratch.save(cut.repartition(width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "key long, a int, z int"), "edges")
-        spans = copies.union(edges)
-        if n_hot:
-            windows = scratch.save(with_text(firsts.join(hot_side, "anchor", "left_semi")).mapInArrow(_windows, "x long, y long, key long, a int"), "windows")
+        spans = spans.union(scratch.save(cut.repartition(width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "key long, a int, z int"), "edges"))
+        if hot is not None:
+            windows = scratch.save(with_text(hot).mapInArrow(_windows, "x long, y long, key long, a int"), "windows")
             first = windows.groupBy("x", "y").agg(F.min(F.struct("key", "a")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("x", "y", "f")
             late = windows.join(first, ["x", "y"]).filter(F.struct("key", "a") > F.col("f"))
             spans = spans.union(late.select("key", "a", (F.col("a") + WINDOW).alias("z")))
