@@ -37,10 +37,12 @@ Relation(
     f"""WITH x AS (SELECT l.code, l.d, coalesce(s.height, 0) AS height, s.height IS NULL AS missing, after_1 FROM {{leaderboard_features}} l LEFT JOIN {{limit_streaks}} s ON s.code = l.code AND s.d = l.d)
 SELECT least(height, 3) AS height, count(*) AS n, count_if(missing) AS missing, CASE WHEN count(after_1) >= 30 THEN {q("avg(after_1)", 6)} END AS mean FROM x GROUP BY 1""",
 )
+#: All picks of each day: strong net buying, no more turnover than the bound (unknown passes), second limit-up in a row or later.
 Relation(
     "leaderboard_pick",
-    """SELECT l.code, l.d, net_buy_ratio, turnover_rate, height FROM {leaderboard_features} l JOIN {limit_streaks} s ON s.code = l.code AND s.d = l.d
-WHERE net_buy_ratio > 15 AND turnover_rate < 12.5 AND height >= 1 ORDER BY net_buy_ratio DESC, l.code, l.d LIMIT 50""",
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY code, list_date ORDER BY reason) AS r FROM {leaderboard})
+SELECT l.code, l.list_date AS d, net_buy_ratio, turnover_rate, height FROM l JOIN {limit_streaks} s ON s.code = l.code AND s.d = l.list_date
+WHERE r = 1 AND net_buy_ratio > 15 AND (turnover_rate IS NULL OR turnover_rate <= 12.5) AND height >= 2""",
 )
 Relation(
     "leaderboard_signals",
