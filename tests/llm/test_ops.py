@@ -146,6 +146,19 @@ def test_word_encoder_forgets_and_splits_like_the_library():
     run()
 
 
+def test_word_encoder_composes_before_it_folds():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    plain, mine = Tokenizer.from_str(definition), token_file.WordEncoder(definition)
+    for words in (["J\u030ca", "H\u0331amas.", "T\u0308X", "W\u030a,", "Y\u030aab AB"], ["H\u0331amas", "Ab<|endoftext|>Cd", "J\u030ca <|"]):
+        parts = [x.encode() for x in words]
+        ids, at = mine.encode(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+        for k, p in enumerate(parts):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(p.decode(), add_special_tokens=False).ids, words[k]
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 

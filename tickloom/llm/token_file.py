@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Scratch, blocks, flat, prefix_hash, settings, small_batches, span_hash, width, words
+from .common import _FOLD, Scratch, blocks, flat, prefix_hash, settings, small_batches, span_hash, width, words
 
 BLOCK = 1 << 18
 _PUNCT = np.zeros(256, bool)
@@ -30,6 +30,21 @@ _PUNCT[list(b".,;:!?")] = True
 SCHEMA = "shard int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+def _fold_ascii_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case, except in words that the tokenizer may read otherwise then.
+
+    These are words with a byte of 0x80 or more (it composes before it folds) and with a < (special tokens).
+    """
+    low = _FOLD[data]
+    other = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data >= 128) | (data == ord("<")), out=other[1:])
+    stay = np.flatnonzero(other[ends] > other[starts])
+    n = ends[stay] - starts[stay]
+    at = np.repeat(starts[stay] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    low[at] = data[at]
+    return low
+
+
 class WordEncoder:
     """Encodes texts by encoding each distinct word once, with the tokenizers library.
 
@@ -88,10 +103,10 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n+1 offsets)."""
-        raw = data.tobytes()
-        low, starts, ends, _, by = words(data, offsets, fold=b"<|" not in raw)
+        data, starts, ends, _, by = words(data, offsets, fold=False)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        low = _fold_ascii_words(data, starts, ends)
         last = low[ends - 1]
         before = low[np.maximum(ends - 2, 0)]
         mark = self.single[last] & (ends - starts >= 2) & (before >= 97) & (before <= 122)
