@@ -53,7 +53,7 @@ Relation("not_collected", "SELECT b.code, count(*) AS n FROM {bars_sparse} b WHE
 #: Backward as-of: the last flow at or before each leaderboard day, carried along a union in date order.
 Relation(
     "flow_as_of",
-    """WITH u AS (SELECT code, d, 0 AS is_event, main_net FROM {fund_flow} WHERE CAST(main_net AS INT) % 2 = 0 UNION ALL SELECT code, ex_date AS d, 1 AS is_event, CAST(NULL AS DOUBLE) AS main_net FROM {actions_sparse}),
+    """WITH u AS (SELECT code, d, 0 AS is_event, main_net FROM {fund_flow} UNION ALL SELECT code, ex_date AS d, 1 AS is_event, CAST(NULL AS DOUBLE) AS main_net FROM {actions_sparse}),
 g AS (SELECT *, count(main_net) OVER (PARTITION BY code ORDER BY d, is_event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM u), v AS (SELECT code, d, is_event, max(main_net) OVER (PARTITION BY code, island) AS flow FROM g)
 SELECT code, d, flow FROM v WHERE is_event = 1""",
 )

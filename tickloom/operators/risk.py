@@ -155,8 +155,8 @@ SELECT code, d, open > 0 AND volume > 0 AS tradable, coalesce(open / nullif((pc
 #: A dividend's holders: shares compound over ex-dates in (buy, sell]; a range join on code and dates.
 Relation(
     "dividend_income",
-    f"""WITH t AS (SELECT code, d AS buy_d, lead(d, 40) OVER (PARTITION BY code ORDER BY d) AS sell_d, row_number() OVER (PARTITION BY code ORDER BY d) AS k FROM {{bars_sparse}}),
-h AS (SELECT * FROM t WHERE k % 50 = 1 AND sell_d IS NOT NULL), j AS (SELECT h.code, buy_d, sell_d, a.ex_date, cash_per_share AS cash, coalesce(exp(sum(ln(share_multiplier)) OVER (PARTITION BY h.code, buy_d ORDER BY a.ex_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS shares
+    f"""WITH t AS (SELECT code, d AS buy_d, lead(d, 40) OVER (PARTITION BY code ORDER BY d) AS sell_d FROM {{bars_sparse}}),
+h AS (SELECT * FROM t WHERE sell_d IS NOT NULL), j AS (SELECT h.code, buy_d, sell_d, a.ex_date, cash_per_share AS cash, coalesce(exp(sum(ln(share_multiplier)) OVER (PARTITION BY h.code, buy_d ORDER BY a.ex_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS shares
   FROM h JOIN {{actions_sparse}} a ON a.code = h.code AND a.ex_date > buy_d AND a.ex_date <= sell_d)
 SELECT code, buy_d, sell_d, count(*) AS events, {q("sum(cash * shares)", 6)} AS cash FROM j GROUP BY code, buy_d, sell_d""",
 )

@@ -121,7 +121,7 @@ SELECT code, days, CAST(CASE WHEN days < 3 THEN NULL WHEN one THEN 1 WHEN hundre
 )
 Relation(
     "action_conflicts",
-    """WITH e AS (SELECT CAST(600000 + l_suppkey AS VARCHAR(10)) AS code, CAST(l_shipdate AS DATE) AS ex_date, CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS cash FROM {lineitem} WHERE l_orderkey % 13 = 0)
+    """WITH e AS (SELECT CAST(600000 + l_suppkey AS VARCHAR(10)) AS code, CAST(l_shipdate AS DATE) AS ex_date, CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS cash FROM {lineitem})
 SELECT code, ex_date, count(*) AS n, min(cash) AS cash, count(DISTINCT cash) > 1 AS conflict FROM e GROUP BY code, ex_date""",
 )
 Relation(
