@@ -32,7 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents that have no language: null text, or no letter in it."""
     model = language_id.train(docs, "doc_id", "text", "lang")
     with small_batches(spark):
-        known = language_id.classify(docs, model, "text", "_lang", "_score").filter(F.col("_lang") != language_id.UND)
+        known = language_id.classify(docs, model, "text", "_lang", "_score")
+        # without labels to learn from every text is undetermined: only what no language can be in goes
+        known = known.filter(F.col("_lang") != language_id.UND if model.labels else F.col("text").rlike(r"\p{L}"))
         return Scratch(spark, "stage-language").save(known.select(docs.columns), "docs")
 
 

@@ -445,6 +445,14 @@ def test_pipeline_stages(spark, docs, sf):
     assert by["mix_sources"] <= by["decontaminate"] and "shard" in frame.columns
 
 
+def test_language_stage_keeps_documents_when_nothing_is_labelled(spark, docs, sf):
+    import corpus_pipeline
+
+    bare = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    kept = corpus_pipeline.identify_language(spark, bare, sf)
+    assert kept.columns == bare.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in hard_docs()} - {1, 2, 10, 15}
+
+
 def test_empty_pipeline(spark, sf):
     import corpus_pipeline
 
