@@ -393,6 +393,12 @@ def test_lm_probabilities_sum_to_one(spark):
     assert all(r.score < 0 and r.n_tokens >= 1 for r in got.values()) and got[2000].n_tokens == 1
 
 
+def test_lm_sums_do_not_wrap():
+    for most, want in ((2**32 - 1, [2**32 + 4, 3]), (7, [12, 3])):
+        got = lm_score.sums(np.array([0, 1, 0]), np.array([most, 3, 5], np.uint32), 2)
+        assert lm_score.unsized_planes(lm_score.sized_planes(got)).tolist() == want
+
+
 def test_learned_weights_follow_the_evidence():
     bins = lambda p: int(np.rint((np.log2(p) + 8) / lm_score.GRID)) + 1
     w = lm_score.learn([(5, bins(500), bins(2), 900), (7, 0, bins(4), 900), (9, 0, 0, 900)])

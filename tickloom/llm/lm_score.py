@@ -88,6 +88,21 @@ def unplanes(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T).reshape(-1).view(kind)
 
 
+def sums(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Sums of counts by place, in 32 bits where all fit and in 64 elsewhere: a frequent word of a large corpus has more than 2**32."""
+    x = np.bincount(at, counts, n)
+    return x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
+
+
+def sized_planes(x: np.ndarray) -> bytes:
+    """Byte planes after their number."""
+    return bytes([x.itemsize]) + planes(x)
+
+
+def unsized_planes(b: bytes) -> np.ndarray:
+    return unplanes(memoryview(b)[1:], f"u{b[0]}")
+
+
 def _bounds(n: int) -> np.ndarray:
     return np.array([(k << 64) // n for k in range(1, n)], np.uint64)
 
@@ -137,15 +152,15 @@ def count(rows: DataFrame, n_chunks: int, scratch: Scratch) -> DataFrame:
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         n = np.concatenate(counts)
-        kept = np.bincount(at, n * ~apart, len(unique)).astype(np.uint32)
-        away = np.bincount(at, n * apart, len(unique)).astype(np.uint32)
+        kept = sums(at, n * ~apart, len(unique))
+        away = sums(at, n * apart, len(unique))
         word = (unique & np.uint64(1)) == 0
         a = 0
         names = ["chunk", "bucket", "kept", "apart", "totals"]
         types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for chunk, size in zip(chunks, sizes, strict=True):
             where = at[a : a + size]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([chunk, bucket, planes(kept[where]), planes(away[where]), None], types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([chunk, bucket, sized_planes(kept[where]), sized_planes(away[where]), None], types, strict=True)], names=names)
             a += size
         k, d = kept[word].astype(np.int64), away[word].astype(np.int64)
         totals = [int(k.sum()), int((k > 0).sum()), int((k + d).sum()), int((k + d > 0).sum())]
@@ -171,7 +186,7 @@ def _with_answers(rows: DataFrame, answers: DataFrame, function, schema: str) ->
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        join = lambda name: np.concatenate([np.empty(0, np.uint32), *[unplanes(x, np.uint32) for x in right.column(name).to_pylist()]]).astype(np.int64)
+        join = lambda name: np.concatenate([np.empty(0, np.uint32), *map(unsized_planes, right.column(name).to_pylist())]).astype(np.int64)
         c = Chunk([x for x in left.column("text").chunks])
         kept, apart = join("kept"), join("apart")
         if len(kept) != len(c.keys):
