@@ -414,7 +414,7 @@ def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str, l
 def replay(replay_rows: DataFrame, calendar: DataFrame, version: str, vol_targets: tuple[float, ...] = (0.10,), end: str = "2023-08-20") -> DataFrame:
     """Ledgers (LEDGER) of an account per security and volatility target, one row per event and per close."""
     last_ci = calendar.filter(F.col("d") <= F.to_date(F.lit(end))).agg(F.max("ci")).first()[0] or 0
-    names = [x.split()[0] for x in LEDGER.split(", ")]
+    kinds = {c: {"double": "float64", "int": "int32"}.get(t, object) for c, t in (x.split() for x in LEDGER.split(", "))}
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("d")
@@ -423,7 +423,8 @@ def replay(replay_rows: DataFrame, calendar: DataFrame, version: str, vol_target
         for v in vol_targets:
             for e in walk_account(rows, version, RiskConfig(annual_vol_target=v), end, last_ci):
                 out.append({"code": rows[0]["code"], "version": version, "vol_target": v, **e})
-        return pd.DataFrame(out).reindex(columns=names)
+        # columns of their own type: one that no event fills would come out as doubles
+        return pd.DataFrame({c: pd.Series([e.get(c) for e in out], dtype=kind) for c, kind in kinds.items()})
 
     return replay_rows.groupBy("code").applyInPandas(kernel, LEDGER)
 

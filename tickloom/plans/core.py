@@ -10,6 +10,7 @@ say the same, a separate statement to compare it with.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import re
 import shutil
@@ -50,9 +51,12 @@ def _inputs(sql: str) -> list[str]:
 
 @dataclass
 class Relation:
+    """oracle: a statement of its own to compare the rows with; without one the text is rendered for the other engine."""
+
     name: str
     sql: str
     inputs: list[str] = field(default_factory=list)
+    oracle: str | None = None
 
     def __post_init__(self):
         self.inputs = _inputs(self.sql)
@@ -90,14 +94,24 @@ def _local_folder() -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """df, written to and read from the folder that driver and executors share (a local one only where none is set)."""
+    """df, written to and read from the folder that driver and executors share (a local one only where none is set).
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()
     path = f"{base}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended; nothing depends on the removal
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def uses(name: str, found: dict[str, int] | None = None) -> dict[str, int]:
     """How often each relation below ``name`` is read."""
     found = {} if found is None else found
@@ -132,7 +146,7 @@ def statement(name: str) -> str | None:
         if n in parts or n in TABLES:
             return True
         r = RELATIONS[n]
-        sql = r.sql if isinstance(r, Relation) else r.oracle
+        sql = r.oracle or r.sql if isinstance(r, Relation) else r.oracle
         if sql is None or not all(visit(i) for i in _inputs(sql)):
             return False
         parts[n] = render(re.sub(r"\{(\w+)\}", r"\1", sql), "duck")
