@@ -63,6 +63,33 @@ def split(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def thue_morse(n):
+    """Two words of n bytes that any polynomial hash modulo 2**64 confuses from 1,024 bytes on."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+TWINS = [w for n in (512, 1024, 4096) for w in thue_morse(n)]
+
+
+def test_words_that_polynomials_confuse(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    data = [(i, w) for i, w in enumerate(TWINS)] + [(6, TWINS[2] + " x y z w"), (7, TWINS[3] + " x y z w")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in ngram_join.link_classes(df, "doc_id", "text").collect())
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    crc = {i: zlib.crc32(np.array([*t.encode(w, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, w in data}
+    assert {r.doc_id: r.ids_crc32 for r in token_file.encode_documents(df, "doc_id", "text", path, 1).collect()} == crc
+    trained = Counter(w for i, x in data for w in x.split() if zlib.crc32(str(i).encode()) % 10)
+    known = {i: sum(trained[w] > 0 for w in x.split()) + 1 for i, x in data}
+    assert {r.doc_id: r.n_known for r in lm_score.score_documents(df, "doc_id", "text").collect()} == known
+    want = repeats(data)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, "doc_id", "text").collect()} == want
+
+
 # ---- exact dedup -----------------------------------------------------------------------------------------------------
 
 
@@ -146,6 +173,21 @@ def test_word_encoder_forgets_and_splits_like_the_library():
     run()
 
 
+def test_word_encoder_compares_bytes(monkeypatch):
+    """With a hash that confuses words, in a block and with those it remembers, ids are still the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    plain, mine = Tokenizer.from_str(definition), token_file.WordEncoder(definition)
+    mine.hash = lambda lane, first, k, size: (size % 3).astype(np.uint64)
+    for texts in (["a", "bb ccc", "a bb"], ["a", "dd eee"], ["bb ccc a, bb."], ["zz", "", "ccc"]):
+        parts = [x.encode() for x in texts]
+        ids, at = mine.encode(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+        for k, p in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == plain.encode(p, add_special_tokens=False).ids
+
+
 def test_word_encoder_composes_before_it_folds():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -77,6 +77,18 @@ def small_batches(spark: SparkSession, rows: int = 512):
     return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """These names, with underscores added to those that the columns have (Spark's names don't tell case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def width(spark: SparkSession, factor: int = 1) -> int:
     """Partitions for an explicit exchange; follows the session's own sizing."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
@@ -148,8 +160,34 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: (folded bytes, word starts, word ends, 64-bit word hashes, n+1 word offsets by text)."""
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of at least one byte, 8 bytes at a time: (lanes with zeros behind the span's end, first lane of each span, lanes of each)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    k = (end - start + 7) >> 3
+    first = np.cumsum(k) - k
+    at = np.repeat(start - 8 * first, k) + 8 * np.arange(int(k.sum()))
+    return view[at] & _LOW[np.minimum(np.repeat(end, k) - at, 8)], first, k
+
+
+def lanes_hash(lane: np.ndarray, first: np.ndarray, k: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of so many bytes: the sum of their lanes, each finalised with its place.
+
+    Unlike a polynomial modulo 2**64, whose value of a pair of Thue-Morse strings is the same whatever the base, the
+    sum is of values that don't depend on each other. Where equality decides, lanes are compared besides.
+    """
+    if not len(first):
+        return np.empty(0, np.uint64)
+    step = (np.arange(len(lane)) - np.repeat(first, k)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(lane + (step + np.uint64(1)) * np.uint64(_BASE)), first) + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: (folded bytes, word starts, word ends, n+1 word offsets by text)."""
     data = _FOLD[data] if fold else data
     inside = ~_IS_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
@@ -160,7 +198,13 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     after = np.zeros(len(data), bool)
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    return data, starts, ends, span_hash(prefix_hash(data), starts, ends), np.searchsorted(starts, offsets)
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts laid end to end: (64-bit hashes of folded words, n+1 word offsets by text)."""
+    data, starts, ends, by = words(data, offsets)
+    return lanes_hash(*lanes(data, starts, ends), ends - starts), by
 
 
 def shingles(hashes: np.ndarray, by: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, Scratch, blocks, flat, mix, settings, small_batches, width, words
+from .common import _BASE, Scratch, blocks, flat, mix, settings, small_batches, width, word_hashes
 
 CHUNK_BYTES = 12 << 20
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -45,7 +45,7 @@ class Chunk:
         for column in texts:
             data, offsets = flat(column)
             for i, j in blocks(offsets):
-                _, _, _, h, by = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                h, by = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 w = np.insert(h, by[1:], END)
                 p = np.empty_like(w)
                 p[1:] = w[:-1]

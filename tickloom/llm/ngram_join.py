@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, flat, mix, settings, shingles, small_batches, width, words
+from .common import Scratch, blocks, flat, mix, settings, shingles, small_batches, width, word_hashes
 from .components import components
 
 #: Counts carried with the members of a group, and with the pairs that those leave open.
@@ -59,8 +59,7 @@ class Sets:
     """Shingle sets of texts laid end to end: values sorted inside each set, n+1 offsets."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        _, _, _, h, by = words(data, offsets)
-        s, s_by = shingles(h, by)
+        s, s_by = shingles(*word_hashes(data, offsets))
         parts = [np.unique(s[a:z]) for a, z in zip(s_by[:-1].tolist(), s_by[1:].tolist(), strict=True)]
         self.size = np.array([len(p) for p in parts], np.int64)
         self.values = np.concatenate([np.empty(0, np.uint64), *parts])

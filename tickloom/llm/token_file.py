@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import _FOLD, Scratch, blocks, flat, prefix_hash, settings, small_batches, span_hash, width, words
+from .common import _FOLD, Scratch, blocks, flat, lanes, lanes_hash, settings, small_batches, width, words
 
 BLOCK = 1 << 18
 _PUNCT = np.zeros(256, bool)
@@ -45,6 +45,13 @@ def _fold_ascii_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return low
 
 
+def _alike(lane: np.ndarray, first: np.ndarray, k: np.ndarray, size: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether every span has the bytes of its counterpart among others."""
+    if not (size == other_size).all():
+        return False
+    return bool((lane == other[np.repeat(other_first - first, k) + np.arange(len(lane))]).all())
+
+
 class WordEncoder:
     """Encodes texts by encoding each distinct word once, with the tokenizers library.
 
@@ -73,8 +80,10 @@ class WordEncoder:
     def clear(self) -> None:
         self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.ptr = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.lane, self.lane_ptr, self.size = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64)  # the words themselves
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str], body: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """body: lanes of the words, lanes of each, bytes of each."""
         got: list[list[int] | None] = [None] * len(texts)
         plain = [k for k, w in enumerate(texts) if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         for i in range(0, len(plain), 4000):
@@ -97,13 +106,23 @@ class WordEncoder:
         base = len(self.ptr) - 1
         self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32)])
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(g) for g in got])])
+        self.lane, self.size = np.concatenate([self.lane, body[0]]), np.concatenate([self.size, body[2]])
+        self.lane_ptr = np.concatenate([self.lane_ptr, self.lane_ptr[-1] + np.cumsum(body[1])])
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
         self.at = np.insert(self.at, where, base + np.arange(len(keys)))
 
+    def _plainly(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whole texts by the library, for a block in which two words share a hash."""
+        got = self.many([data[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+        ids = [np.array(e.ids, np.uint32) for e in got]
+        return np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+    hash = staticmethod(lanes_hash)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n+1 offsets)."""
-        data, starts, ends, _, by = words(data, offsets, fold=False)
+        data, starts, ends, by = words(data, offsets, fold=False)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         low = _fold_ascii_words(data, starts, ends)
@@ -111,8 +130,17 @@ class WordEncoder:
         before = low[np.maximum(ends - 2, 0)]
         mark = self.single[last] & (ends - starts >= 2) & (before >= 97) & (before <= 122)
         core = ends - mark
-        h = span_hash(prefix_hash(low), starts, core)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        lane, lead, k = lanes(low, starts, core)
+        size = core - starts
+        unique, first, inverse = np.unique(self.hash(lane, lead, k, size), return_index=True, return_inverse=True)
+        rep = first[inverse]
+        if not _alike(lane, lead, k, size, lane, lead[rep], size[rep]):
+            return self._plainly(data, offsets)
+
+        def body(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return lane[np.repeat(lead[of] - (np.cumsum(k[of]) - k[of]), k[of]) + np.arange(int(k[of].sum()))], k[of], size[of]
+
+        text = low.tobytes()
         for _ in range(2):
             if len(self.keys):
                 pos = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
@@ -122,18 +150,19 @@ class WordEncoder:
             new = np.flatnonzero(~known)
             if not len(new):
                 break
-            body = low.tobytes()
-            texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), core[first[new]].tolist(), strict=True)]
+            texts = [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), core[first[new]].tolist(), strict=True)]
             try:
-                self._learn(unique[new], texts)
+                self._learn(unique[new], texts, body(first[new]))
             except OverflowError:
                 self.clear()
                 fresh = self.MOST
                 self.MOST = max(self.MOST, 2 * len(unique))
-                self._learn(unique, [body[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), core[first].tolist(), strict=True)])
+                self._learn(unique, [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), core[first].tolist(), strict=True)], body(first))
                 self.MOST = fresh
-        pos = np.searchsorted(self.keys, unique)
-        slot = self.at[pos][inverse]
+        found = self.at[np.searchsorted(self.keys, unique)]
+        if not _alike(*body(first)[:1], np.cumsum(k[first]) - k[first], k[first], size[first], self.lane, self.lane_ptr[found], self.size[found]):
+            return self._plainly(data, offsets)
+        slot = found[inverse]
         a, n = self.ptr[slot], self.ptr[slot + 1] - self.ptr[slot]
         total = n + mark
         out_by = np.concatenate([[0], np.cumsum(total)])
