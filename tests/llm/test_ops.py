@@ -391,6 +391,48 @@ def test_ngram_join_loses_no_link_near_the_threshold(spark):
     assert got == classes(data)
 
 
+def test_ngram_join_groups_of_near_copies(spark, monkeypatch):
+    """Many documents around one text, close to each other or just too far, in blocks of a few members."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 120)]
+    rows = []
+    for k in range(120):
+        near = list(base)
+        for i in r.choice(120, 1 + k % 7, replace=False):
+            near[i] = f"v{k}_{i}"
+        rows.append(near)
+    for k in range(40):  # half the text in common: never similar
+        rows.append(base[:60] + [f"u{k}_{i}" for i in range(60)])
+    data = [(int(i), " ".join(rows[k])) for k, i in enumerate(r.permutation(len(rows)))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link_classes(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == classes(data)
+
+
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(12)
+    for n, m in ((30, 30), (300, 340), (900, 1100)):
+        a = [f"w{x}" for x in r.integers(0, 10**6, m)]
+        b = list(a[:n])
+        for i in r.integers(0, n, n // 8):
+            b[i] = "x"
+        texts = [" ".join(a).encode(), " ".join(b).encode()]
+        s = ngram_join.Sets(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
+        x, y = (np.frombuffer(k, np.uint64)[None] for k in s.sketches())
+        size = min(x.shape[1], y.shape[1])
+        p, q = (shingles(t.decode()) for t in texts)
+        assert int(np.bitwise_count(ngram_join.fold(x, size) ^ ngram_join.fold(y, size)).sum()) <= len(p ^ q) and [len(p), len(q)] == s.size.tolist()
+
+
+def test_exact_sets_number_by_words():
+    texts = [b"A b c d e f", b"a B c d e f g", b"a b", b"A  b\n", b"", b"a b c d e", b"b a"]
+    sets = ngram_join.exact_sets(texts)
+    want = [shingles(t.decode()) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) and len(sets[i]) == len(want[i])
+
+
 # ---- language ID -----------------------------------------------------------------------------------------------------
 
 

@@ -1,16 +1,20 @@
 """Jaccard self-join of word shingle sets with PartEnum signatures, and the classes that its links make.
 
 Sets with Jaccard similarity of at least P differ in at most (1 - P) / (1 + P) of the sum of their sizes. Sizes fall
-into bands; a band allows K differences and cuts the hash domain of shingles into g > K partitions. By the pigeonhole,
-K differences leave g - K partitions alike; a signature is a partition's part of the set. A set signs for its own band
-and for those that a set up to 1 / P times as large would use, so any two similar sets meet in the larger one's band.
-Empty partitions sign nothing, which is safe while a set has fewer of them than g - K. A set that has more signs with
+into bands; a band allows K differences and cuts the hash domain of shingles into groups of three partitions. A
+signature is a subset of two of a group's three partitions: the part of the set that lies in them. A difference spoils
+two of a group's three subsets and another one of the same group the third, so of G groups' 3 G subsets at least
+2 G - K (3 G - 2 K, if K <= G) stay alike, and G is chosen so that this is positive. A set signs for its own band and for
+those that a set up to 1 / P times as large would use, so any two similar sets meet in the larger one's band. Empty
+subsets sign nothing, which is safe while a set has fewer of them than must stay alike. A set that has more signs with
 single shingles of its prefix besides: two such sets share one of those. So no similar pair is lost.
 
 Groups of rows with one signature are read as a sorted stream and give star edges to their smallest id, never all
-pairs. Each document's best edge is verified exactly and linked ones form classes. Groups that still hold members of
-several classes are compared across classes only, with a bound on the difference (counts by domain slice) computed
-inside the task, and the pairs it can't exclude are verified exactly. What remains unlinked is not similar.
+pairs. Each set has a parity sketch, a bit for some half a shingle each; the bits in which two sketches differ are a
+lower bound of the difference of their sets. Star edges that the bound doesn't exclude are verified exactly, on words,
+and linked documents form classes. Of groups whose members are still in several classes, one of those with the same
+members is compared across classes, in blocks of bounded size that are dealt over tasks. The bound is applied inside
+the task; pairs that leave it are verified exactly. What remains unlinked is not similar.
 
 Defined results: words are what white space separates, A-Z in lower case; null or empty text has no shingles and links
 with nothing; a shorter text than five words is one shingle; rows with equal ids are one node of the graph; a null id
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, flat, mix, settings, shingles, small_batches, width, word_hashes
 from .components import components
 
-#: Counts carried with the members of a group, and with the pairs that those leave open.
-SLICES, FINE_SLICES = 64, 512
-BROADCAST_IDS = 2_000_000
+#: A table of ids up to so many rows is broadcast (some 40 bytes each); larger ones are joined.
+BROADCAST_IDS = 500_000
+#: Members of a signature that one task compares, and bytes of their sketches.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+LEAST_BITS = 512
 
 
 def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
@@ -50,9 +56,16 @@ def allowed(size: np.ndarray, percent: int) -> np.ndarray:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def slots(band: np.ndarray) -> np.ndarray:
+def groups(band: np.ndarray) -> np.ndarray:
+    """Groups of three partitions, some more than K differences need, so that empty subsets do no harm."""
     k = _BANDS[band]
-    return np.where(k == 0, 1, k + 2 + (k + 9) // 10)
+    return np.where(k == 0, 1, k // 2 + 1 + (k + 19) // 20)
+
+
+def alike(band: np.ndarray) -> np.ndarray:
+    """Subsets that K differences leave alike at least."""
+    k, g = _BANDS[band], groups(band)
+    return np.where(k <= g, 3 * g - 2 * k, 2 * g - k)
 
 
 class Sets:
@@ -73,42 +86,51 @@ class Sets:
             out.append(c[self.by[1:]] - c[self.by[:-1]])
         return out[0], out[1]
 
-    def slices(self, n: int) -> np.ndarray:
-        """(sets, n) of counts by slice of the hash domain, at most 255. Their distance bounds the difference from below."""
-        owner = np.repeat(np.arange(len(self.size)), self.size)
-        at = owner * n + (mix(self.values) >> np.uint64(65 - n.bit_length())).astype(np.int64)
-        return np.minimum(np.bincount(at, minlength=len(self.size) * n), 255).astype(np.uint8).reshape(-1, n)
+    def sketches(self) -> list[bytes]:
+        """Parity of the number of shingles by slice of the hash domain. Slices are a power of two, two to four a shingle."""
+        bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * self.size, 1))).astype(np.int64))
+        by = np.concatenate([[0], np.cumsum(bits)])
+        at = np.repeat(by[:-1], self.size) + (mix(self.values) & np.repeat((bits - 1).astype(np.uint64), self.size)).astype(np.int64)
+        odd = (np.bincount(at, minlength=int(by[-1])) & 1).astype(np.uint8)
+        body = np.packbits(odd, bitorder="little").tobytes()
+        return [body[a // 8 : z // 8] for a, z in zip(by[:-1].tolist(), by[1:].tolist(), strict=True)]
 
-    def signatures(self, percent: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def signatures(self, percent: int, use: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(signature, index of set) of the sets in use."""
         low = np.searchsorted(_BANDS, allowed(self.size, percent))
         high = np.searchsorted(_BANDS, allowed(self.size * 100 // percent, percent))
+        use = use & (self.size > 0)
         owner = np.repeat(np.arange(len(self.size)), self.size)
-        sig, who = [], []
         bare = np.zeros(len(self.size), bool)
-        for step in range(int((high - low).max(initial=0)) + 1):
+        mixed = mix(self.values)
+        for step in range(int((high - low)[use].max(initial=-1)) + 1):
             band = low + step
-            on = use & (self.size > 0) & (band <= high)
-            pick = on[owner]
-            v, o = self.values[pick], owner[pick]
-            if not len(v):
-                continue
-            g = slots(band)
-            slot = ((v >> np.uint64(32)) * g[o].astype(np.uint64)) >> np.uint64(32)
-            first = np.ones(len(v), bool)
-            first[1:] = (o[1:] != o[:-1]) | (slot[1:] != slot[:-1])
-            at = np.flatnonzero(first)
-            total = np.add.reduceat(mix(v), at)
-            sig.append(mix(total + mix(slot[at] + (band[o[at]].astype(np.uint64) << np.uint64(40)))))
-            who.append(o[at])
-            empty = g - np.bincount(o[at], minlength=len(self.size))
-            bare |= on & (empty >= g - _BANDS[band])
+            on = np.flatnonzero(use & (band <= high))
+            n = 3 * groups(band[on])
+            base = np.zeros(len(self.size), np.int64)
+            base[on] = np.cumsum(n) - n
+            pick = (use & (band <= high))[owner]
+            o = owner[pick]
+            parts = np.zeros(len(self.size), np.int64)
+            parts[on] = n
+            at = base[o] + (((self.values[pick] >> np.uint64(32)) * parts[o].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+            total = np.zeros(int(n.sum()), np.uint64)
+            some = np.zeros(len(total), bool)
+            if len(new):
+                total[at[new]] = np.add.reduceat(mixed[pick], new)
+            some[at] = True
+            total, some = total.reshape(-1, 3), some.reshape(-1, 3)
+            total, some = total + np.roll(total, -1, 1), some | np.roll(some, -1, 1)  # subsets 01, 12, 20 of each group
+            who = np.repeat(on, n)
+            place = np.arange(len(who)) - np.repeat(base[on], n)
+            sig = mix(total.reshape(-1) + mix(place.astype(np.uint64) + (band[who].astype(np.uint64) << np.uint64(40))))
+            some = some.reshape(-1)
+            bare[on] |= n - np.add.reduceat(some, base[on], dtype=np.int64) >= alike(band[on]) if len(on) else False
+            yield sig[some], who[some]
         prefix = np.where(bare, self.size - -(-self.size * percent // 100) + 1, 0)
-        rank = np.arange(len(self.values)) - self.by[owner]
-        pick = rank < prefix[owner]
-        sig.append(mix(self.values[pick] ^ np.uint64(0xA4093822299F31D0)))
-        who.append(owner[pick])
-        return np.concatenate(sig), np.concatenate(who)
+        pick = np.arange(len(self.values)) - self.by[owner] < prefix[owner]
+        yield mix(self.values[pick] ^ np.uint64(0xA4093822299F31D0)), owner[pick]
 
 
 def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, Sets]]:
@@ -121,7 +143,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, j, s in _sets(b, "text"):
             x, y = s.sums()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([r.tobytes() for r in s.slices(SLICES)], pa.binary())], names=["doc_id", "n", "x", "y", "slices"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(s.sketches(), pa.binary())], names=["doc_id", "n", "x", "y", "sketch"])
 
 
 def _sign(percent: int):
@@ -134,10 +156,10 @@ def _sign(percent: int):
                 for k, key in enumerate(zip(*(v.tolist() for v in s.sums()), strict=True)):
                     use[k] = key not in seen
                     seen.add(key)
-                sig, who = s.signatures(percent, use)
-                for a in range(0, len(sig), 1 << 16):
-                    z = a + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[a:z].view(np.int64)), pa.array(ids[i + who[a:z]].astype(np.int64))], names=["sig", "doc"])
+                for sig, who in s.signatures(percent, use):
+                    for a in range(0, len(sig), 1 << 16):
+                        z = a + (1 << 16)
+                        yield pa.RecordBatch.from_arrays([pa.array(sig[a:z].view(np.int64)), pa.array(ids[i + who[a:z]].astype(np.int64))], names=["sig", "doc"])
 
     return run
 
@@ -161,26 +183,89 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(leads[keep]), pa.array(d[keep])], names=["sig", "lead", "doc"])
 
 
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows, words) of fewer words: a coarser slice is the sum of two finer ones."""
+    while sketch.shape[1] > size:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _words(column: pa.Array | list[bytes]) -> np.ndarray:
+    """(rows, words) of sketches of one size."""
+    rows = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+def possible(differ: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles that differ in at least so many may be similar."""
+    return np.maximum(differ, np.abs(n - m)) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _near(percent: int):
+    """Of pairs with sizes and sketches: those that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            left, right = b.column("sa").to_pylist(), b.column("sb").to_pylist()
+            least = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)]) // 8
+            wide = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)]) // 8
+            differ = np.zeros(b.num_rows, np.int64)
+            for size, most in set(zip(least.tolist(), wide.tolist(), strict=True)):
+                if most > 4 * size:  # sizes alone exclude them
+                    continue
+                for longer in (left, right) if most > size else (left,):
+                    at = [k for k in np.flatnonzero((least == size) & (wide == most)).tolist() if len(longer[k]) == 8 * most]
+                    if at:
+                        x, y = (fold(_words([side[k] for k in at]), size) for side in (left, right))
+                        differ[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = pa.array(possible(differ, b.column("na").to_numpy(), b.column("nb").to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def _across(percent: int):
-    """Of rows (sig, doc, comp, n, slices) sorted by sig: pairs of one signature, but not one class, that may be similar."""
+    """Of rows (sig, i, j, own, doc, comp, n, sketch) sorted by (sig, i, j): pairs across classes that may be similar.
+
+    A row is a member of block ``own`` of a signature's group, sent to the comparison of blocks i and j.
+    """
 
     def pairs(rows: list[pa.Table]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         t = pa.concat_tables(rows)
-        d, comp, n = (t.column(c).to_numpy() for c in ("doc", "comp", "n"))
-        if len(d) < 2 or (comp == comp[0]).all():
+        doc, comp, n, own = (t.column(c).to_numpy() for c in ("doc", "comp", "n", "own"))
+        if len(doc) < 2 or (comp == comp[0]).all():
             return
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sketch = t.column("sketch").to_pylist()
+        size = np.array([len(x) for x in sketch]) // 8
         order = np.argsort(n, kind="stable")
-        d, comp, n = d[order], comp[order], n[order]
-        x = np.frombuffer(b"".join(t.column("slices").to_pylist()), np.uint8).reshape(-1, SLICES)[order].astype(np.int16)
-        for a in range(0, len(d), 256):
-            top = int(np.searchsorted(n, n[min(a + 256, len(d)) - 1] * 100 // percent, "right"))
-            for c in range(a, top, 512):
-                i, j = slice(a, a + 256), slice(c, min(c + 512, top))
-                far = np.abs(x[i, None, :] - x[None, j, :]).sum(2, dtype=np.int32)
-                total = n[i, None] + n[None, j]
-                ok = (far * (100 + percent) <= total * (100 - percent)) & (comp[i, None] != comp[None, j]) & (np.minimum(n[i, None], n[None, j]) * 100 >= np.maximum(n[i, None], n[None, j]) * percent)
-                p, q = np.nonzero(ok)
-                yield d[i][p], d[j][q]
+        held = {}
+        for s in np.unique(size).tolist():
+            held[s] = order[size[order] == s]
+        loaded = {s: _words([sketch[k] for k in at.tolist()]) for s, at in held.items()}
+        for s, at in held.items():
+            for wide, others in held.items():
+                if wide < s or wide > 2 * s:
+                    continue
+                x, y = loaded[s], fold(loaded[wide], s)
+                mine, theirs = n[at], n[others]
+                rows_, columns = 64, max(1, (1 << 21) // (64 * s))
+                for a in range(0, len(at), rows_):
+                    p = at[a : a + rows_]
+                    first = int(np.searchsorted(theirs, -(-mine[a] * percent // 100), "left"))
+                    last = int(np.searchsorted(theirs, mine[min(a + rows_, len(at)) - 1] * 100 // percent, "right"))
+                    for c in range(first, last, columns):
+                        q = others[c : min(c + columns, last)]
+                        ok = (comp[p, None] != comp[None, q]) & ((doc[p, None] < doc[None, q]) if wide == s else (doc[p, None] != doc[None, q]))
+                        if i != j:
+                            ok &= own[p, None] != own[None, q]
+                        if ok.any():
+                            differ = np.bitwise_count(x[a : a + rows_, None, :] ^ y[None, c : c + len(q), :]).sum(2, dtype=np.int64)
+                            u, v = np.nonzero(ok & possible(differ, n[p, None], n[None, q], percent))
+                            yield doc[p[u]], doc[q[v]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -195,60 +280,81 @@ def _across(percent: int):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            s = b.column("sig").to_numpy()
-            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            key = np.stack([b.column(c).to_numpy() for c in ("sig", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and s[a] != last:
+                here = tuple(key[a].tolist())
+                if held and here != last:
                     yield from out()
                     held = []
                 held.append(t.slice(a, z - a))
-                last = s[a]
+                last = here
         if held:
             yield from out()
 
     return run
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, s in _sets(b, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s.size), pa.array([r.tobytes() for r in s.slices(FINE_SLICES)], pa.binary())], names=["doc_id", "n", "fine"])
+def word_ids(text: bytes, table: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a text's words, equal exactly if the words are. New words get the next numbers; long texts go by pieces."""
+    out, at = [], 0
+    text = text.lower()
+    while at < len(text):
+        end = at + (1 << 20)
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        out.append(np.array([table.setdefault(w, len(table)) for w in text[at:end].split()], np.int64))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def exact_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
+    """Sorted numbers of each text's shingles, equal exactly if their words are."""
+    table: dict[bytes, int] = {}
+    ids = [word_ids(t, table) for t in texts]
+    n = np.array([len(x) for x in ids], np.int64)
+    w = np.concatenate([np.empty(0, np.int64), *ids])
+    code, length = w, 1
+    while length < k:  # a run of words is numbered by its two halves, or by what comes before its last word
+        step = length if 2 * length <= k else 1
+        tail = (code if step == length else w)[length : length + len(code) - step]
+        code = np.unique(code[: len(tail)] * (int(tail.max(initial=0)) + 1) + tail, return_inverse=True)[1]
+        length += step
+    by = np.cumsum(n) - n
+    short: dict[tuple, int] = {}
+    out = []
+    for a, m in zip(by.tolist(), n.tolist(), strict=True):
+        if m >= k:
+            out.append(np.unique(code[a : a + m - k + 1]))
+        else:  # the whole sequence is one shingle; negative numbers
+            out.append(np.array([-1 - short.setdefault(tuple(w[a : a + m].tolist()), len(short))] if m else [], np.int64))
+    return out
 
 
-def _near(percent: int):
-    """Of pairs with sizes and fine counts: those whose bound doesn't exclude similarity."""
-
+def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_SLICES).astype(np.int16) for c in ("fa", "fb"))
-            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            ok = pa.array(np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= total * (100 - percent))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = b.column("ta"), b.column("tb")
+            data, offsets = flat(b.column("tb"))
+            left = b.column("ta")
             ok = np.zeros(b.num_rows, bool)
-            ids = b.column("a").to_pylist()
-            last, own = None, None
-            for i, j, s in _sets(b, "tb"):
+            for i, j in blocks(offsets):
+                texts: list[bytes] = []
+                place: dict[bytes, int] = {}
+                where = []
                 for k in range(i, j):
-                    key = (ids[k], left[k].as_py())
-                    if key != last:
-                        data, offsets = flat(left.slice(k, 1))
-                        last, own = key, Sets(data, offsets).values
-                    other = s.values[s.by[k - i] : s.by[k - i + 1]]
-                    if len(own) and len(other):
-                        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                        common = int((own[at] == other).sum())
-                        ok[k] = common * 100 >= (len(own) + len(other) - common) * percent
-            del right
+                    t = (left[k].as_py() or "").encode()
+                    if t not in place:
+                        place[t] = len(texts)
+                        texts.append(t)
+                    where.append(place[t])
+                sets = exact_sets(texts + [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])
+                for k in range(i, j):
+                    x, y = sets[where[k - i]], sets[len(texts) + k - i]
+                    if len(x) and len(y):
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        ok[k] = common * 100 >= (len(x) + len(y) - common) * percent
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     return run
@@ -275,38 +381,43 @@ def link_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 80) -
         return out
 
     with small_batches(spark):
-        meta = scratch.save(docs.mapInArrow(_measure, "doc_id long, n long, x long, y long, slices binary"), "meta")
+        meta = scratch.save(docs.mapInArrow(_measure, "doc_id long, n long, x long, y long, sketch binary"), "meta")
         signed = docs.filter("doc_id IS NOT NULL").mapInArrow(_sign(percent), "sig long, doc long")
         with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
             dealt = signed.repartition(width(spark), "sig").sortWithinPartitions("sig", "doc")
             stars = scratch.save(dealt.mapInArrow(_stars, "sig long, lead long, doc long"), "stars")
-    equal = meta.filter("n > 0 AND doc_id IS NOT NULL").groupBy("x", "y", "n").agg(F.min("doc_id").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    same = scratch.save(meta.filter("doc_id IS NOT NULL").join(equal, ["x", "y", "n"]).select(F.col("doc_id").alias("a"), "b").filter("a <> b"), "same")
-
-    pairs = scratch.save(stars.groupBy("lead", "doc").agg(F.count("*").alias("k")), "pairs")
-    best = pairs.groupBy("doc").agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("a")).select("a", F.col("doc").alias("b"))
-    links = verified(best, "first").union(same)
+    sets = meta.filter("n > 0 AND doc_id IS NOT NULL")
+    equal = scratch.save(sets.groupBy("x", "y", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k"), "equal")
+    same = sets.select("doc_id", "x", "y", "n").join(some(equal), ["x", "y", "n"]).select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    sketches = sets.select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc", "n", "sketch"])
+
+    pairs = scratch.save(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    one, two = (sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    with small_batches(spark, 4096):
+        near = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
+        links = verified(near.union(same).distinct(), "first")
     classes = scratch.save(components(links, scratch, "c"), "classes")
 
     def with_class(rows: DataFrame, node: str, name: str) -> DataFrame:
         return rows.join(classes.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    open_pairs = scratch.save(with_class(with_class(pairs, "lead", "cl"), "doc", "cd").filter("cl <> cd").select("lead", "doc"), "open")
-    if not open_pairs.isEmpty():
-        sigs = stars.join(some(open_pairs), ["lead", "doc"], "left_semi").select("sig").distinct()
-        rows = scratch.save(stars.join(some(scratch.save(sigs, "sigs")), "sig", "left_semi"), "mixed")
-        members = scratch.save(rows.select("sig", "doc").union(rows.select("sig", F.col("lead").alias("doc"))).distinct(), "members")
-        # Similar documents share many signatures: of groups with the same members one is compared.
-        marks = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.count("*").alias("k"))
-        members = members.join(marks.groupBy("x", "y", "k").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
-        details = meta.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "slices").dropDuplicates(["doc", "n", "slices"])
-        members = with_class(members.join(details, "doc"), "doc", "comp").select("sig", "doc", "comp", "n", "slices")
+    # A group of two is decided by its star. Others with members of several classes may hold links that no star has.
+    unlinked = scratch.save(with_class(with_class(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("a").alias("lead"), F.col("b").alias("doc")), "unlinked")
+    if not unlinked.isEmpty():
+        open_sigs = scratch.save(stars.join(some(unlinked), ["lead", "doc"], "left_semi").select("sig").distinct(), "sigs")
+        rows = stars.join(some(open_sigs), "sig", "left_semi")
+        marks = rows.groupBy("sig").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.min("lead").alias("lead"), F.count("*").alias("k")).filter("k > 1")
+        chosen = scratch.save(marks.groupBy("x", "y", "lead", "k").agg(F.min("sig").alias("sig")).select("sig"), "chosen")
+        rows = scratch.save(stars.join(some(chosen), "sig", "left_semi"), "mixed")
+        members = rows.select("sig", "doc").union(rows.select("sig", F.col("lead").alias("doc")).distinct())
+        members = scratch.save(with_class(members.join(sketches, "doc"), "doc", "comp").select("sig", "doc", "comp", "n", "sketch"), "members")
+        large = members.groupBy("sig").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("int").alias("parts")).filter("parts > 1")
+        members = members.join(some(scratch.save(large, "large")), "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        members = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        members = members.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "sketch")
         with small_batches(spark, 4096):
-            maybe = scratch.save(members.repartition(width(spark), "sig").sortWithinPartitions("sig").mapInArrow(_across(percent), "a long, b long").distinct(), "maybe")
-            need = maybe.select(F.col("a").alias("doc_id")).union(maybe.select(F.col("b").alias("doc_id"))).distinct()
-            fine = scratch.save(docs.join(some(scratch.save(need, "fine-need")), "doc_id", "left_semi").mapInArrow(_sketch, "doc_id long, n long, fine binary"), "fine")
-            one, two = (fine.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}")) for c in "ab")
-            near = scratch.save(maybe.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+            dealt = members.repartition(width(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            near = scratch.save(dealt.mapInArrow(_across(percent), "a long, b long").distinct(), "near")
         classes = scratch.save(components(links.union(verified(near, "second")), scratch, "d"), "final")
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(classes, F.col("doc_id") == F.col("node"), "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
