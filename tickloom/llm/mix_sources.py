@@ -6,7 +6,8 @@ left of it by single hashes. Rows at or below the resulting threshold are taken:
 smaller budget takes a subset of what a larger one takes.
 
 Defined results: a null size counts as 0, a null source is a source of its own (ordered last); rows with equal ids
-share a hash and stand or fall together; a source without size has target 0; an empty table gives an empty result.
+share a hash and stand or fall together; a source without size has target 0; an empty table gives an empty result;
+other columns pass unchanged, whatever their names, except those that the caller names as new.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, unused
 
 BITS = 12
 #: Tables with a row per source are broadcast up to so many sources.
@@ -59,15 +60,19 @@ def _crossing(hist: DataFrame, by: list[str], bucket: str) -> DataFrame:
     return hist.withColumn("upto", F.sum("size").over(run)).filter("upto >= rest and upto - size < rest").select(*by, bucket, (F.col("rest") - (F.col("upto") - F.col("size"))).alias("rest"))
 
 
+#: What ``mix_rows`` adds: a row's size, its source's size and target, what the mix takes of it, and how often.
+ADDED = ("size", "source_size", "target", "taken", "copies")
+
+
 def mix_sources(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """One row per input row: id, size, source_size, target (its source's), taken (size times copies), copies the mix takes."""
-    slim = df.select(F.col(id_col), F.col(source_col), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    slim = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
     slim = Scratch(df.sparkSession, "mixed").save(slim, "rows")
-    return mix_rows(slim, id_col, source_col, F.col("size"), weights, share, most).select(id_col, "size", "source_size", "target", "taken", "copies")
+    return mix_rows(slim, "_id", "_source", F.col("_size"), weights, share, most).select(F.col("_id").alias(id_col), *ADDED)
 
 
-def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """df with size, source_size, target, taken and copies. Columns of df with these names are replaced."""
+def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """df with five columns, named by ``added``; columns of df with these names are replaced, all others pass unchanged."""
     scratch = Scratch(df.sparkSession, "mix")
     rows = scratch.save(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size")).withColumn("h", id_hash(F.col("id"))), "rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -94,9 +99,11 @@ def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, weights:
     cuts = joined(cross1, last.select("source", "h"), ["source"], "left").select("source", F.coalesce("h", F.shiftleft(F.col("b1"), 60 - 2 * BITS) - 1).alias("cut"))
     plan = joined(plan, cuts, ["source"], "left").select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(-1)).alias("cut"))
     plan = scratch.save(plan, "cuts")
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("copies").alias("_copies"), F.col("cut").alias("_cut"))
-    gone = [c for c in ("size", "source_size", "target", "taken", "copies") if c in df.columns]
-    sized = df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).drop(*gone).withColumn("copies", id_hash(F.col(id_col)))
-    out = sized.join(_small(plan, few), F.col(source_col).eqNullSafe(F.col("_source"))).withColumnRenamed("_size", "size")
-    copies = F.col("_copies") + (F.col("copies") <= F.col("_cut")).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_source", "_copies", "_cut")
+    n, h, group, source, source_size, target, copies, cut = unused([*df.columns, *added], "_n", "_h", "_group", "_source", "_source_size", "_target", "_copies", "_cut")
+    plan = plan.select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("copies").alias(copies), F.col("cut").alias(cut))
+    sized = df.withColumns({n: F.coalesce(size, F.lit(0)).cast("long"), h: id_hash(F.col(id_col)), group: F.col(source_col)})
+    out = sized.join(_small(plan, few), F.col(group).eqNullSafe(F.col(source)))
+    times = F.col(copies) + (F.col(h) <= F.col(cut)).cast("long")
+    gone = {c.lower() for c in added}
+    new = (F.col(n), F.col(source_size), F.col(target), F.col(n) * times, times)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone], *[c.alias(name) for c, name in zip(new, added, strict=True)])

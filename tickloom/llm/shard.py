@@ -8,8 +8,8 @@ The table has ``slots`` rows whatever the input, which bounds the broadcast. The
 driver; rows meet only DataFrame functions.
 
 Defined results: a null key has the hash of the empty string; equal keys share a shard unless the key is hot and
-``spread_by`` is given; an empty table gives an empty result; other columns, clashing names included, pass unchanged
-(the two new ones are named by the caller).
+``spread_by`` is given; an empty table gives an empty result; other columns pass unchanged, whatever their names (the
+two new ones are named by the caller and take the place of columns of that name).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
 from .mix_sources import id_hash
 
 SHARDS, SLOTS = 64, 16381
@@ -43,32 +44,33 @@ def fill(names: list[str], slots: int) -> list[int]:
     return owner
 
 
-def lookup(spark: SparkSession, owner: list[int]) -> DataFrame:
+def lookup(spark: SparkSession, owner: list[int], slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """The table as rows (slot, shard), cut out of one binary literal of 4 bytes a slot."""
     body = F.lit(b"".join(k.to_bytes(4, "big") for k in owner))
     number = F.conv(F.hex(F.substring(body, (F.col("id") * 4 + 1).cast("int"), F.lit(4))), 16, 10).cast("int")
-    return spark.range(0, len(owner), 1, 1).select(F.col("id").alias("_slot"), number.alias("_shard"))
+    return spark.range(0, len(owner), 1, 1).select(F.col("id").alias(slot_col), number.alias(shard_col))
 
 
 def shard(df: DataFrame, key: Column, n_shards: int = SHARDS, slots: int = SLOTS, spread_by: Column | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """df with the slot and shard of each row.
+    """df with the slot and shard of each row; columns of df with these two names are replaced.
 
     spread_by: keys with more rows than a shard's even share (fewer than n_shards keys can have that) are divided by
     the hash of this column over as many slots as shares they have.
     """
     spark = df.sparkSession
-    table = F.broadcast(lookup(spark, fill([f"shard-{k}" for k in range(n_shards)], slots)))
-    h = id_hash(key)
+    names = df.columns
+    at, own, k, hot_key, count, parts = unused([*names, slot_col, shard_col], "_slot", "_shard", "_key", "_hot", "_n", "_parts")
+    rows = df.withColumn(k, key.cast("string"))
+    h = id_hash(F.col(k))
     if spread_by is not None:
-        rows = df.withColumn("_key", key.cast("string"))
-        counts = rows.groupBy("_key").agg(F.count("*").alias("_n"))
-        total = counts.agg(F.sum("_n")).first()[0] or 0
-        hot = counts.filter(F.col("_n") * n_shards > total).select(F.col("_key").alias("_hot"), F.ceil(F.col("_n") * n_shards / F.lit(max(total, 1))).alias("_parts"))
-        df = rows.join(F.broadcast(hot), F.col("_key").eqNullSafe(F.col("_hot")), "left").drop("_hot")
-        part = F.when(F.col("_parts").isNotNull(), F.concat(F.coalesce("_key", F.lit("")), F.lit("#"), (id_hash(spread_by) % F.col("_parts")).cast("string"))).otherwise(F.col("_key"))
-        h, gone = id_hash(part), ["_key", "_parts"]
-    else:
-        gone = []
-    out = df.withColumn("_slot", h % F.lit(slots)).join(table, "_slot")
-    names = [c for c in df.columns if c not in gone]
-    return out.select(*[out[c] for c in names], F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+        rows = rows.withColumn(at, id_hash(spread_by))
+        counts = rows.groupBy(k).agg(F.count("*").alias(count))
+        total = counts.agg(F.sum(count)).first()[0] or 0
+        hot = counts.filter(F.col(count) * n_shards > total).select(F.col(k).alias(hot_key), F.ceil(F.col(count) * n_shards / F.lit(max(total, 1))).alias(parts))
+        rows = rows.join(F.broadcast(hot), F.col(k).eqNullSafe(F.col(hot_key)), "left")
+        part = F.when(F.col(parts).isNotNull(), F.concat(F.coalesce(k, F.lit("")), F.lit("#"), (F.col(at) % F.col(parts)).cast("string"))).otherwise(F.col(k))
+        h = id_hash(part)
+    table = F.broadcast(lookup(spark, fill([f"shard-{x}" for x in range(n_shards)], slots), hot_key + "_slot", own))
+    out = rows.withColumn(at, h % F.lit(slots)).join(table, F.col(at) == F.col(hot_key + "_slot"))
+    gone = {slot_col.lower(), shard_col.lower()}
+    return out.select(*[F.col(f"`{c}`") for c in names if c.lower() not in gone], F.col(at).alias(slot_col), F.col(own).alias(shard_col))
