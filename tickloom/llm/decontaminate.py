@@ -1,10 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are partitioned by their number of shingles (powers of two). An item's sketch is its k smallest shingle hashes,
-k following from its partition's largest size u and the containment c: floor((1 - c) * u) + 1. A document with at least
-c of an item's shingles lacks at most (1 - c) of them, so it holds one of these k: no qualifying pair is lost, however
-long the document, whose sketch is all its hashes up to the largest in any item's sketch. Pairs that share a sketch
-value are candidates; for them all shingles are counted.
+Items are partitioned by their number of shingles (powers of two). An item's sketch is its k smallest shingle hashes;
+with u the largest size of its partition and c the containment, k = 2 * floor((1 - c) * u) + 1, or all it has. A document
+with at least c of an item's n shingles lacks at most floor((1 - c) * n) of them, so it has at least k - floor((1 - c) * n)
+of the sketch's hashes, which is more than half. Documents are sketched by their hashes up to the largest in any item's
+sketch; pairs that share as many as the item's partition asks are candidates, and for them all shingles are counted. No
+qualifying pair is lost, however long the document, and a single common passage makes no candidate.
 
 DataFrame functions only. Shingles are made by generators inside generated code, one at a time, and meet the broadcast
 sketch before any exchange, so what is shuffled are hits. Item tables are broadcast below BROADCAST_ROWS rows (16 bytes
@@ -44,15 +45,18 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     own = shingle_rows(items.select(F.col(item_id).alias("item"), F.col(text).alias("t")), "item", "t", k).distinct()
     sized = own.join(own.groupBy("item").agg(F.count("*").alias("n")).withColumnRenamed("item", "_item"), F.col("item").eqNullSafe(F.col("_item"))).drop("_item")
     largest = F.expr("shiftleft(1L, cast(ceil(log2(n)) AS int))")  # of the partition: sizes in (u/2, u]
-    sized = scratch.save(sized.withColumn("k", F.floor(largest * (100 - percent) / 100) + 1), "items")
+    lacks = lambda size: F.floor(size * (100 - percent) / 100)
+    sized = sized.withColumn("k", F.least("n", 2 * lacks(largest) + 1)).withColumn("need", F.col("k") - lacks(F.col("n")))
+    sized = scratch.save(sized, "items")
     rows = sized.count()
-    sketch = sized.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("h"))).filter("r <= k").select("item", "h")
+    sketch = sized.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("h"))).filter("r <= k").select("item", "h", "need")
     sketch = scratch.save(sketch, "sketch")
     top = sketch.agg(F.max("h")).first()[0]
     if top is None:
         top = -(1 << 63)
     probe = shingle_rows(docs, "d", "t", k).filter(F.col("h") <= F.lit(top))
-    hits = probe.join(_maybe_broadcast(sketch, rows), "h").groupBy("d", "item").agg(F.count("*").alias("_n")).select("d", "item")
+    hits = probe.join(_maybe_broadcast(sketch, rows), "h").select("d", "item", "h", "need").distinct()
+    hits = hits.groupBy("d", "item").agg(F.count("*").alias("_n"), F.first("need").alias("need")).filter("_n >= need").select("d", "item")
     hits = scratch.save(hits, "hits")
 
     found = hits.select("d").distinct()
