@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import _BASE, Scratch, blocks, flat, mix, settings, small_batches, width, word_hashes
 
-CHUNK_BYTES = 12 << 20
+#: Text of a chunk, and text for which there is a range: both bound what a task holds, whatever the input.
+CHUNK_BYTES, RANGE_BYTES = 12 << 20, 16 << 20
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 GRID, SPAN, LEVELS = 0.25, 160, 40  # of the histogram that expectation-maximisation runs on
 EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
@@ -107,20 +108,19 @@ def _bounds(n: int) -> np.ndarray:
     return np.array([(k << 64) // n for k in range(1, n)], np.uint64)
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(doc_id, text, part, chunk), the number of chunks. Documents of part 1 have chunks of their own, the last tenth."""
+def chunked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, part, chunk), the number of chunks, and that of ranges of the hash space. Documents of part 1 have chunks of their own, the last tenth."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("part", part(F.col("doc_id")).cast("int"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2, -(-total // CHUNK_BYTES))
     few = max(1, round(n / 10))
-    h = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7))
-    return rows.withColumn("chunk", F.when(F.col("part") == 1, F.pmod(h, F.lit(few)) + n).otherwise(F.pmod(h, F.lit(n))).cast("int")), n + few
+    h = F.xxhash64("doc_id", "text", F.lit(7))  # of the text too: rows that share an id, or have none, are spread
+    return rows.withColumn("chunk", F.when(F.col("part") == 1, F.pmod(h, F.lit(few)) + n).otherwise(F.pmod(h, F.lit(n))).cast("int")), n + few, max(width(df.sparkSession), -(-total // RANGE_BYTES))
 
 
-def count(rows: DataFrame, n_chunks: int, scratch: Scratch) -> DataFrame:
+def count(rows: DataFrame, n_chunks: int, n_buckets: int, scratch: Scratch) -> DataFrame:
     """Answers (chunk, bucket, kept, apart): counts by key without and of part 1; and with chunk -1 the totals."""
     spark = rows.sparkSession
-    n_buckets = width(spark)
     bounds = _bounds(n_buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +216,8 @@ def score_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "lm")
-    rows, n_chunks = chunked(df, id_col, text_col)
-    answers = count(rows, n_chunks, scratch)
+    rows, n_chunks, n_buckets = chunked(df, id_col, text_col)
+    answers = count(rows, n_chunks, n_buckets, scratch)
     totals = answers.filter("chunk < 0").agg(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
     n_kept, v_kept, n_all, v_all = (int(x or 0) for x in totals)
 
