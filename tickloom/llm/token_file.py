@@ -1,7 +1,7 @@
 """Token ids of documents as Simple-8b blocks in id order, and the reader.
 
-Documents are dealt over shards by ranges of their id (bounds from quantiles of the id column alone), ordered inside a
-shard, encoded, and packed into blocks of about BLOCK ids that end with a document. A block is one row of a Parquet
+Documents are dealt over shards by ranges of their id (bounds from quantiles of the id column alone; of id and text, if
+an id has more rows than a shard), ordered inside a shard, encoded, and packed into blocks of about BLOCK ids that end with a document. A block is one row of a Parquet
 table: shard, block, start (ids of the shard before it), n_ids, doc_ids, lengths, payload. Spark's commit makes the
 table whole or absent, on any file system. Reading needs no sort: a block says where it starts, and the shards' totals
 (one row each) say where a shard starts.
@@ -12,13 +12,14 @@ comes first; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
@@ -184,15 +185,30 @@ def _encoder(definition: str) -> WordEncoder:
     return _encoders[key]
 
 
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most key (0 for null), by bisection."""
+    if not bounds:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))
+
+
 def write(df: DataFrame, id_col: str, text_col: str, path: str, definition: str, end_id: int, n_shards: int | None = None) -> None:
     """definition: the tokenizer's JSON; it travels with the task, so executors need no file."""
     spark = df.sparkSession
     n_shards = n_shards or width(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.2 / n_shards))) if n_shards > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(place))
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "text")
+    cuts = rows.approxQuantile("doc_id", [k / n_shards for k in range(1, n_shards)], 0.2 / n_shards) if n_shards > 1 else []
+    bounds = sorted({int(b) for b in cuts})
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
+    if len(bounds) == len(cuts) and nulls * n_shards <= n:
+        dealt = rows.withColumn("shard", _place(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
+    else:  # an id has more rows than a shard: ranges of id and text
+        dealt = rows.repartitionByRange(n_shards, order[0], F.substring("text", 1, 64)).withColumn("shard", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
