@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import bwt, decontaminate, language_id, lm_score, ngram_join, simple8b, suffix_dedup, token_file, warc
 from tickloom.llm.exact_dedup import exact_dedup
-from tickloom.llm.mix_sources import mix_sources, targets, word_count
+from tickloom.llm.mix_sources import mix_rows, mix_sources, targets, word_count
 from tickloom.llm.shard import fill, shard
 
 exact_dedup_module = importlib.import_module("tickloom.llm.exact_dedup")
@@ -449,6 +449,61 @@ def test_language_id(spark, docs, none, sf):
     assert {r.lang_pred for r in language_id.classify(docs, empty, "text").collect()} == {"und"}
 
 
+def grams(text):
+    """Hashed byte n-grams of a text, one at a time."""
+    out, data = set(), [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    for k in language_id.ORDERS:
+        for i in range(len(data) - k + 1):
+            code = 0
+            for b in data[i : i + k]:
+                code = (code * 0x01000193 + b) % 2**32
+            out.add((((code ^ (code >> 15)) * 0x2C1B3C6D + k) % 2**32) >> 18)
+    return out
+
+
+def test_language_id_by_plain_kernel_regression(spark):
+    """The kernel by sets, the regression in its dual form over landmark features, for a few texts."""
+    words = {"aa": "los ardo cion rado que esta", "bb": "the tion wher and hath ouse", "cc": "und ich sche heit auf zuer"}
+    r = np.random.default_rng(6)
+    rows = [(k, " ".join(r.choice(words[x].split(), 12)) + (" 7" if k % 2 else " Mix"), x) for k, x in enumerate(sorted(words) * 9)]
+    rows += [rows[0], rows[0], (None, "the and hath", "bb"), (None, "the and hath", "bb"), (90, None, "aa"), (91, "12 34", "aa"), (92, "und ich", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    chosen = language_id.sample(df, "doc_id", "text", "lang")
+    assert len(chosen) == 28  # equal rows once; no null, letterless or unlabelled ones
+    model = language_id.train(df, "doc_id", "text", "lang")
+    texts = {frozenset(grams(t)): x for _, t, x in rows if t and x and any(c.isalpha() for c in t)}
+    sets = []
+    for name, _, bits in chosen:
+        got = frozenset(np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).tolist())
+        assert texts[got] == name
+        sets.append(got)
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    names = sorted(words)
+    y = np.array([names.index(n) for n, *_ in chosen])
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])  # all are landmarks
+    values, vectors = np.linalg.eigh(k)
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    phi = np.hstack([k @ root, np.ones((len(k), 1))])
+    balance = np.diag(1 / np.bincount(y)[y])
+    ridge = language_id.RIDGE / phi.shape[1]
+    dual = np.linalg.solve(phi @ phi.T @ balance + ridge * np.eye(len(k)), np.where(y[:, None] == np.arange(3), 1.0, -1.0))
+    w = phi.T @ balance @ dual
+    for x in language_id.classify(df, model, "text").collect():
+        if x.text is None or not any(c.isalpha() for c in x.text):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        s = np.hstack([np.array([kernel(grams(x.text), b) for b in sets]) @ root, [1.0]]) @ w
+        e = np.exp(4 * (s - s.max()))
+        assert x.lang_pred == names[int(s.argmax())] and abs(x.score - e.max() / e.sum()) < 1e-3
+
+
+def test_language_id_keeps_labels_of_long_and_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LABEL", 4)
+    rows = [(7, "die und der ", "de")] * 300 + [(k, "the and of " + "x" * k, "en") for k in range(9)] + [(500, "le les une " * 200_000, "fr")]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 4)
+    assert Counter(x for x, *_ in got) == {"de": 1, "en": 4, "fr": 1}
+
+
 # ---- LM scoring ------------------------------------------------------------------------------------------------------
 
 
@@ -470,11 +525,42 @@ def test_lm_score(spark, docs, none, twice, monkeypatch, sf):
     assert lm_score.score_documents(twice, "doc_id", "text").count() == twice.count()
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    rows = [(i, " ".join("abc"[(i * k) % 3] for k in range(1, 6))) for i in range(30)]
-    texts = [*rows, *[(1000 + k, w) for k, w in enumerate(["a", "b", "c", "zz"])], (2000, "")]
-    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()}
-    assert all(r.score < 0 and r.n_tokens >= 1 for r in got.values()) and got[2000].n_tokens == 1
+def test_lm_score_by_plain_interpolation(spark, docs):
+    """Counts, histogram, weights and scores once more with dictionaries."""
+    table = docs.select("doc_id", "text").union(docs.select((F.col("doc_id") + 100).alias("doc_id"), F.concat_ws(" ", F.lit("alpha1 beta2"), "text").alias("text")))
+    rows = [(r.doc_id, [*split(fold(r.text)), "\0end"], zlib.crc32(str(r.doc_id).encode()) % 10) for r in table.collect()]
+
+    def tallies(parts):
+        one, two = Counter(), Counter()
+        for _, t, p in rows:
+            if p in parts:
+                one.update(t)
+                two.update(zip(["\0end", *t[:-1]], t, strict=True))  # a text begins where one ends
+        return one, two
+
+    kept, kept2 = tallies(set(range(2, 10)))
+    n, v = sum(kept.values()), len(kept)
+    hist = Counter()
+    for _, t, p in rows:
+        if p == 1:
+            for h, w in zip(["\0end", *t[:-1]], t, strict=True):
+                bins = [int(np.rint((np.log2(a / max(b, 1) * (v + 1)) + 8) / lm_score.GRID)) + 1 if a else 0 for a, b in ((kept2[h, w], kept[h]), (kept[w], n))]
+                hist[(min(int(np.log2(kept[h] + 1)), lm_score.LEVELS - 1), *bins)] += 1
+    weights = lm_score.learn([(*k, c) for k, c in hist.items()])
+    every, every2 = tallies(set(range(1, 10)))
+    n, v = sum(every.values()), len(every)
+    got = {r.doc_id: r.score for r in lm_score.score_documents(table, "doc_id", "text").collect()}
+
+    def probability(h, w):
+        a2, a1, a0 = weights[min(int(np.log2(every[h] + 1)), lm_score.LEVELS - 1)]
+        a2 = a2 if every[h] else 0.0
+        return (a2 * (every2[h, w] / every[h] if every[h] else 0) + a1 * every[w] / n + a0 / (v + 1)) / (a2 + a1 + a0)
+
+    for i, t, _ in rows:
+        want = sum(np.log10(probability(h, w)) for h, w in zip(["\0end", *t[:-1]], t, strict=True))
+        assert abs(got[i] - want) < 1e-6 * abs(want), i
+    for h in ("alpha1", "\0end", "never seen"):  # over all words and one unknown they sum to one
+        assert abs(sum(probability(h, w) for w in every) + probability(h, "\0unknown") - 1) < 1e-9
 
 
 def test_lm_sums_do_not_wrap():
@@ -516,6 +602,34 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.find_contained(none, table).count() == 0 and decontaminate.find_contained(docs, table.limit(0)).count() == 0
 
 
+def test_decontaminate_with_repeated_and_null_ids(spark):
+    a = some_text(5, 60)
+    words = a.split()
+    docs_ = [(1, " ".join(words[:30])), (1, " ".join(words[28:])), (None, a), (None, "nothing here at all today"), (2, None), (3, a), (3, a)]
+    items = [(1, a), (None, " ".join(words[5:25])), (1, a)]
+    got = {(r.doc_id, r.item_id): (r.item_shingles, r.shared) for r in decontaminate.find_contained(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = contained(docs_, items)
+    assert {k: v[1] for k, v in got.items()} == want and (None, 1) in want and (1, 1) in want and (1, None) in want
+
+
+def test_clashing_names_come_out_unchanged(spark):
+    """Columns named like an operator's own, in either case, keep their values."""
+    names = ["_slot", "_SHARD", "_key", "_n", "_parts", "_hot", "_source", "_copies", "_cut", "_size", "_h", "_group", "_target", "_source_size", "_got", "_known", "_p", "_l", "h", "d", "t", "k", "id", "sig"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, some_text(i, 30), "en", f"s{i % 3}", *[f"{n}-{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, schema)
+    model = language_id.train(df, "doc_id", "text", "lang")
+    outs = {
+        "shard": shard(df, F.col("doc_id"), 8, 251), "spread": shard(df, F.col("lang"), 8, 251, spread_by=F.col("doc_id")),
+        "mix": mix_rows(df, "doc_id", "source", word_count(F.col("text"))), "classify": language_id.classify(df, model, "text"),
+    }
+    for what, out in outs.items():
+        assert out.columns[: len(df.columns)] == df.columns, what
+        assert sorted(tuple(r)[: len(df.columns)] for r in out.collect()) == sorted(rows), what
+    taken = shard(df.withColumnRenamed("k", "SLOT"), F.col("doc_id"), 8, 251)
+    assert [c.lower() for c in taken.columns].count("slot") == 1 and {r.slot for r in taken.collect()} <= set(range(251))
+
+
 # ---- pipeline --------------------------------------------------------------------------------------------------------
 
 
@@ -535,6 +649,69 @@ def test_pipeline_stages(spark, docs, sf):
     assert by["mix_sources"] <= by["decontaminate"] and "shard" in frame.columns
 
 
+def test_pipeline_rows_stand_for_themselves(spark, sf):
+    """Repeated and null ids, and columns named like the stages' own: no row goes because of another."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("octet_length(text) > 200").first().text
+    base = some_text(21, 200)
+    near = " ".join(["changed", *base.split()[1:]])
+    names = ["size", "target", "taken", "copies", "source_size", "_lang", "_score", "_copy", "_r", "_id", "row_number", "_slot", "text_"]
+    texts = [(None, base), (None, some_text(22, 90)), (None, some_text(23, 50) + " " + item), (5, near), (5, some_text(24, 80)), (6, some_text(25, 70)), (6, item), (7, None), (8, ""), (9, some_text(26, 100) + "\n" + some_text(26, 100))]
+    rows = [(i, t, "en", "s", 0, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        columns = frame.columns
+        frame = stage(spark, frame, sf)
+        if name != "shard":
+            assert frame.columns == columns
+        got = frame.collect()
+        assert {(r.doc_id, r.text, r["size"], r["row_number"], r["_slot"]) for r in got} <= {(i, t, f"size{k}", f"row_number{k}", f"_slot{k}") for k, (i, t) in enumerate(texts)}
+        kept[name] = sorted({int(r["size"][4:]) for r in got})
+    assert kept["language_id"] == [0, 1, 2, 3, 4, 5, 6, 9]
+    assert kept["ngram_join"] == [1, 2, 3, 4, 5, 6, 9]  # of the near pair the row with an id stays
+    assert kept["decontaminate"] == [1, 3, 4, 5, 9]
+
+
+def test_pipeline_against_sql_and_plain_classification(spark, sf, tmp_path):
+    """The first stage against the classifier's own scores, the others against SQL over the rows that it kept."""
+    import duckdb
+
+    import compare
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, table, sf)
+    model = language_id.train(table, "doc_id", "text", "lang")
+    score = {r.doc_id: (r.lang_pred, r.score) for r in language_id.classify(table, model, "text").collect()}
+    want = {i for i, (lang, p) in score.items() if lang != "und" and p >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in first.collect()} == want and len(want) > 0.9 * table.count()
+    first.write.parquet(str(tmp_path / "p1.parquet"))
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    compare.tables(con, sf)
+    con.sql(f"CREATE VIEW p1 AS SELECT * FROM read_parquet('{tmp_path}/p1.parquet/*.parquet')")
+    frame = first
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:]):
+        stage(spark, frame, sf).write.parquet(str(tmp_path / f"s{k}"))
+        frame = spark.read.parquet(str(tmp_path / f"s{k}"))
+    a, b = compare.canon(frame.toPandas()), compare.canon(con.sql(corpus_pipeline.REST_SQL).df())
+    assert list(a.columns) == list(b.columns) and a.equals(b)
+
+
+def test_language_stage_drops_what_it_cannot_tell(spark, sf):
+    import corpus_pipeline
+
+    rows = [(k, "the and of that with " * 3 + f"{k}", "en") for k in range(20)] + [(100 + k, "der und die nicht auf " * 3 + f"{k}", "de") for k in range(20)]
+    rows += [(900, "zzz qqq", None), (901, "the and of with", None), (902, "die und der auf", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(frame, "doc_id", "text", "lang")
+    low = {r.doc_id for r in language_id.classify(frame, model, "text").collect() if r.score < corpus_pipeline.LEAST_SCORE}
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, frame, sf).collect()}
+    assert kept == {r[0] for r in rows} - low and {901, 902} <= kept
+
+
 def test_language_stage_keeps_documents_when_nothing_is_labelled(spark, docs, sf):
     import corpus_pipeline
 

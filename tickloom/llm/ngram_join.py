@@ -9,8 +9,7 @@ those that a set up to 1 / P times as large would use, so any two similar sets m
 subsets sign nothing, which is safe while a set has fewer of them than must stay alike. A set that has more signs with
 single shingles of its prefix besides: two such sets share one of those. So no similar pair is lost.
 
-Groups of rows with one signature are read as a sorted stream and give star edges to their smallest id, never all
-pairs. Each set has a parity sketch, a bit for some half a shingle each; the bits in which two sketches differ are a
+Groups of rows with one signature are read as a sorted stream and give star edges to one of their ids, never all pairs. Each set has a parity sketch, a bit for some half a shingle each; the bits in which two sketches differ are a
 lower bound of the difference of their sets. Star edges that the bound doesn't exclude are verified exactly, on words,
 and linked documents form classes. Of groups whose members are still in several classes, one of those with the same
 members is compared across classes, in blocks of bounded size that are dealt over tasks. The bound is applied inside
@@ -165,18 +164,19 @@ def _sign(percent: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, doc): (sig, lead, doc) for all but the first of each signature."""
-    last, lead = None, None
+    """Of rows sorted by sig: (sig, lead, doc) for all rows of a signature but its lead, the smallest id where it begins."""
+    last, lead = None, 0
     for b in batches:
         if not b.num_rows:
             continue
         s, d = b.column("sig").to_numpy(), b.column("doc").to_numpy()
+        order = np.lexsort((d, s))
+        s, d = s[order], d[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
         new[0] = last is None or s[0] != last
-        at = np.where(new, np.arange(len(s)), -1)
-        at = np.maximum.accumulate(at)
-        leads = np.where(at >= 0, d[np.maximum(at, 0)], lead if lead is not None else 0)
+        at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+        leads = np.where(at >= 0, d[np.maximum(at, 0)], lead)
         last, lead = s[-1], leads[-1]
         keep = ~new & (d != leads)
         if keep.any():
@@ -383,15 +383,15 @@ def link_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 80) -
     with small_batches(spark):
         meta = scratch.save(docs.mapInArrow(_measure, "doc_id long, n long, x long, y long, sketch binary"), "meta")
         signed = docs.filter("doc_id IS NOT NULL").mapInArrow(_sign(percent), "sig long, doc long")
-        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}):
-            dealt = signed.repartition(width(spark), "sig").sortWithinPartitions("sig", "doc")
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8192", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}):
+            dealt = signed.repartition(width(spark), "sig").sortWithinPartitions("sig")  # by one number: a radix sort
             stars = scratch.save(dealt.mapInArrow(_stars, "sig long, lead long, doc long"), "stars")
     sets = meta.filter("n > 0 AND doc_id IS NOT NULL")
     equal = scratch.save(sets.groupBy("x", "y", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k"), "equal")
     same = sets.select("doc_id", "x", "y", "n").join(some(equal), ["x", "y", "n"]).select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     sketches = sets.select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc", "n", "sketch"])
 
-    pairs = scratch.save(stars.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    pairs = scratch.save(stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct(), "pairs")
     one, two = (sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     with small_batches(spark, 4096):
         near = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
@@ -402,12 +402,14 @@ def link_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 80) -
         return rows.join(classes.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     # A group of two is decided by its star. Others with members of several classes may hold links that no star has.
-    unlinked = scratch.save(with_class(with_class(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("a").alias("lead"), F.col("b").alias("doc")), "unlinked")
+    unlinked = scratch.save(with_class(with_class(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b"), "unlinked")
     if not unlinked.isEmpty():
-        open_sigs = scratch.save(stars.join(some(unlinked), ["lead", "doc"], "left_semi").select("sig").distinct(), "sigs")
+        ends = stars.select("sig", F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b"))
+        open_sigs = scratch.save(ends.join(some(unlinked), ["a", "b"], "left_semi").select("sig").distinct(), "sigs")
         rows = stars.join(some(open_sigs), "sig", "left_semi")
-        marks = rows.groupBy("sig").agg(F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"), F.min("lead").alias("lead"), F.count("*").alias("k")).filter("k > 1")
-        chosen = scratch.save(marks.groupBy("x", "y", "lead", "k").agg(F.min("sig").alias("sig")).select("sig"), "chosen")
+        number = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 40))  # noqa: E731  sums of these tell sets of members
+        marks = rows.groupBy("sig").agg(*[(F.sum(number("doc", k)) + F.min(number("lead", k))).alias(c) for k, c in enumerate("xy")], F.count("*").alias("k")).filter("k > 1")
+        chosen = scratch.save(marks.groupBy("x", "y", "k").agg(F.min("sig").alias("sig")).select("sig"), "chosen")
         rows = scratch.save(stars.join(some(chosen), "sig", "left_semi"), "mixed")
         members = rows.select("sig", "doc").union(rows.select("sig", F.col("lead").alias("doc")).distinct())
         members = scratch.save(with_class(members.join(sketches, "doc"), "doc", "comp").select("sig", "doc", "comp", "n", "sketch"), "members")
@@ -418,6 +420,8 @@ def link_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 80) -
         with small_batches(spark, 4096):
             dealt = members.repartition(width(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
             near = scratch.save(dealt.mapInArrow(_across(percent), "a long, b long").distinct(), "near")
-        classes = scratch.save(components(links.union(verified(near, "second")), scratch, "d"), "final")
+        more = verified(near, "second")
+        if not more.isEmpty():
+            classes = scratch.save(components(links.union(more), scratch, "d"), "final")
     out = meta.select("doc_id", F.col("n").alias("n_shingles")).join(classes, F.col("doc_id") == F.col("node"), "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
