@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..plans.core import Native, Relation, q
+from ..plans.core import Native, Relation, half_even, q
 
 _W = "PARTITION BY code ORDER BY d"
 
@@ -189,10 +189,15 @@ Relation(
     "ind_all",
     "SELECT r.*, " + ", ".join(f"x.{c}" for c in RECURSIVE) + " FROM {ind_cci} r JOIN {ind_recursive} x ON x.code = r.code AND x.d = r.d",
 )
-#: How much institutions seem to take part: steadiness of returns, volume and range over the last 61 bars.
+#: How much institutions seem to take part, 0 to 100: steadiness of returns, volume and range over the last 61 bars, in
+#: bands that are fixed values; 50 below 60 bars.
 Relation(
     "institution_proxy",
-    """WITH l AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age, ret, volume, (high - low) / low AS span, count(*) OVER (PARTITION BY code) AS n FROM {bar_flows}),
-s AS (SELECT code, max(n) AS n, stddev_pop(CASE WHEN age <= 60 THEN ret END) * sqrt(252) * 100 AS vol, stddev_pop(CASE WHEN age <= 60 THEN volume END) / nullif(avg(CASE WHEN age <= 60 THEN volume END), 0) AS cv, avg(CASE WHEN age <= 60 THEN span END) * 100 AS amp FROM l GROUP BY code)
-SELECT code, n, """ + f"{q('vol')} AS vol, {q('cv')} AS cv, {q('amp')} AS amp FROM s",
+    f"""WITH l AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age, ret, volume, (high - low) / close * 100 AS span, count(*) OVER (PARTITION BY code) AS n FROM {{bar_flows}}),
+s AS (SELECT code, max(n) AS n, stddev_pop(ret) * 100 AS vol, CASE WHEN avg(volume) > 0 THEN stddev_pop(volume) / avg(volume) * 100 ELSE 100 END AS cv, avg(span) AS amp FROM l WHERE age <= 61 GROUP BY code),
+p AS (SELECT *, 50 + CASE WHEN vol < 15 THEN 25 WHEN vol < 25 THEN 15 WHEN vol < 35 THEN 5 WHEN vol > 50 THEN -20 WHEN vol > 40 THEN -10 ELSE 0 END AS a, 50 + CASE WHEN cv < 40 THEN 20 WHEN cv < 70 THEN 10 WHEN cv > 120 THEN -15 WHEN cv > 100 THEN -8 ELSE 0 END AS b, 50 + CASE WHEN amp < 2 THEN 20 WHEN amp < 3 THEN 10 WHEN amp > 5 THEN -15 ELSE 0 END AS c FROM s)
+SELECT code, n, {q('vol')} AS vol, {q('cv')} AS cv, {q('amp')} AS amp, CASE WHEN n < 60 THEN 50 ELSE {half_even('a * 0.4 + b * 0.35 + c * 0.25')} END AS proxy FROM p""",
+    oracle=f"""WITH x AS (SELECT code, list(close ORDER BY d) AS c, list(volume ORDER BY d) AS v, list((high - low) / close * 100 ORDER BY d) AS a FROM {{bars}} GROUP BY code), y AS (SELECT code, len(c) AS n, list_transform(range(greatest(2, len(c) - 60), len(c) + 1), lambda i: c[i] / c[i - 1] - 1) AS r, v[greatest(1, len(v) - 60):] AS v, a[greatest(1, len(a) - 60):] AS a FROM x),
+z AS (SELECT code, n, list_stddev_pop(r) * 100 AS vol, list_stddev_pop(v) / list_avg(v) * 100 AS cv, list_avg(a) AS amp FROM y)
+SELECT code, n, {q('vol')} AS vol, {q('cv')} AS cv, {q('amp')} AS amp, CASE WHEN n < 60 THEN 50 ELSE round_even(CAST((50 + [25, 15, 5, 0, -10, -20][1 + (vol >= 15)::INT + (vol >= 25)::INT + (vol >= 35)::INT + (vol > 40)::INT + (vol > 50)::INT]) * 40 + (50 + [20, 10, 0, -8, -15][1 + (cv >= 40)::INT + (cv >= 70)::INT + (cv > 100)::INT + (cv > 120)::INT]) * 35 + (50 + [20, 10, 0, -15][1 + (amp >= 2)::INT + (amp >= 3)::INT + (amp > 5)::INT]) * 25 AS DECIMAL(12, 1)) / 10, 0) / 10 END AS proxy FROM z""",
 )

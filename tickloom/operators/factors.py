@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.indicators import full, windows
-from ..plans.core import Native, Relation, q
+from ..plans.core import Native, Relation, keep, q
 
 #: Factor weights; a negative weight ranks small values high.
 WEIGHTS = {"low_vol": 0.154, "atr_amp": 0.147, "liq_factor": 0.144, "bias_health": 0.101, "boll_health": 0.019, "ma_align": -0.090, "mom_60": -0.085, "pv_corr": -0.084, "mom_250": -0.065, "vol_ratio_health": -0.055, "obv_flow": -0.037, "kdj_health": -0.021}
@@ -43,52 +44,113 @@ SELECT f.code, f.d, f.rn, f.close, close / c60 - 1 AS mom_60, close / c250 - 1 A
   100 - 40 * abs(volume / v5 - 2) AS vol_ratio_health, (obv - obv5) / nullif(v5s, 0) AS obv_flow, ret20 * (v5 / v20 - 1) AS pv_corr, -sr20 * sqrt(252) AS low_vol, -tr14 / close AS atr_amp, -ln(turn) AS liq_factor FROM f JOIN {{factor_j}} x ON x.code = f.code AND x.d = f.d""",
 )
 _NAMES = [*WEIGHTS, "rsi_health"]
-#: Values on a grid before they are ranked, so that equal values tie in any engine.
 Relation("factors", "SELECT code, d, rn, close, " + ", ".join(f"{q(n, 6)} AS {n}" for n in _NAMES) + " FROM {factor_values}")
 
 
 def percent_rank(x: str, by: str = "d") -> str:
-    """Average rank of x among its peers that have one, as a share of their number."""
-    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) * 100 END"
+    """Average rank of x among its peers that have one, as a per cent of their number. All such ranks share one exchange."""
+    w = f"PARTITION BY {by} ORDER BY {x} NULLS LAST"
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({w}) + (count(*) OVER ({w} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) * 100 END"
 
 
-Relation("factor_ranks", "SELECT code, d, " + ", ".join(f"CAST({percent_rank(n)} AS DOUBLE) AS {n}" for n in _NAMES) + " FROM {factors} WHERE rn > 250")
+Relation("factor_ranks", "SELECT code, d, " + ", ".join(f"CAST({percent_rank(n)} AS DOUBLE) AS {n}" for n in _NAMES) + " FROM {factor_values} WHERE rn > 250")
 _TOTAL = sum(abs(w) for w in WEIGHTS.values())
 Relation("composite", "SELECT code, d, " + q("(" + " + ".join(f"CAST({w} AS DOUBLE) * coalesce({n}, 50)" for n, w in WEIGHTS.items()) + f") / CAST({_TOTAL!r} AS DOUBLE)", 6) + " AS score FROM {factor_ranks}")
 Relation("factor_ranks_q", "SELECT code, d, " + ", ".join(f"{q(n)} AS {n}" for n in _NAMES) + " FROM {factor_ranks}")
-#: The day that scans look at; they rank rows of its last session only, never a mix of days.
-AS_OF = "DATE '2023-07-01'"
-#: The ten best of that session.
-Relation("scan_composite", f"SELECT code, d, score, CAST(row_number() OVER (ORDER BY score DESC, code) AS INT) AS place FROM {{composite}} WHERE d = (SELECT max(d) FROM {{bars}} WHERE d <= {AS_OF}) ORDER BY score DESC, code LIMIT 10")
+#: The day that scans look at unless told otherwise: the last session on which half of the securities traded. They rank
+#: rows of one session only, never a mix of days.
+AS_OF = "(SELECT max(d) FROM (SELECT d FROM {bars} GROUP BY d HAVING count(*) * 2 >= (SELECT count(DISTINCT code) FROM {bars})) s)"
+#: The ten best of that session, of securities with 300 bars and a price of 5.
+Relation(
+    "scan_composite",
+    f"""SELECT code, d, score, CAST(row_number() OVER (ORDER BY score DESC, code) AS INT) AS place FROM (SELECT c.code, c.d, score FROM {{composite}} c JOIN {{factor_values}} f ON f.code = c.code AND f.d = c.d JOIN (SELECT code, count(*) AS n FROM {{bars}} GROUP BY code HAVING count(*) >= 300) b ON b.code = c.code
+  WHERE c.d = {AS_OF} AND f.close >= 5 ORDER BY score DESC, c.code LIMIT 10) x""",
+)
 #: Latest score per security, if not stale, with a price filter.
 Relation(
     "scan_s_star",
-    f"""WITH l AS (SELECT code, d, close, s_star, gate, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age, max(d) OVER () AS as_of FROM {{scores}} WHERE rn >= 60)
-SELECT code, d, {q("s_star")} AS s_star, close FROM l WHERE age = 1 AND @days(as_of, d) <= 90 AND gate AND close >= 5 ORDER BY {q("s_star")} DESC, code LIMIT 20""",
+    f"""WITH l AS (SELECT code, d, close, s_star, gate, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}} WHERE rn >= 60), m AS (SELECT max(d) AS as_of FROM {{bars}})
+SELECT code, d, {q("s_star")} AS s_star, close FROM l JOIN m ON as_of >= d WHERE age = 1 AND @days(as_of, d) <= 90 AND gate AND close >= 5 ORDER BY {q("s_star")} DESC, code LIMIT 20""",
 )
-#: Forward returns of 1, 2 and 5 bars from the next bar on.
-Relation("forward_returns", "SELECT code, d, lead(close, 1) OVER w / close - 1 AS after_1, lead(close, 2) OVER w / close - 1 AS after_2, lead(close, 5) OVER w / close - 1 AS after_5 FROM {bars_jumpy} WINDOW w AS (PARTITION BY code ORDER BY d)")
-#: Leaderboard rows, one per security and day (first by reason), with what is derived from them.
+#: Forward returns in per cent of 1, 2, 5 and 10 bars.
+Relation("forward_returns", "SELECT code, d, " + ", ".join(f"(lead(close, {k}) OVER w / close - 1) * 100 AS after_{k}" for k in (1, 2, 5, 10)) + " FROM {bars_jumpy} WINDOW w AS (PARTITION BY code ORDER BY d)")
+#: Leaderboard rows, one per security and day (first by reason), without delisted and hardly traded ones, and twelve
+#: columns derived from them. The phrases are fixed values.
 Relation(
     "leaderboard_features",
-    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY code, list_date ORDER BY reason) AS r FROM {{leaderboard}})
-SELECT l.code, l.list_date AS d, reason, net_buy_ratio, {q("sign(net_buy_ratio) * ln(1 + abs(net_buy_ratio))")} AS log_ratio, greatest(-20, least(20, net_buy_ratio)) AS clipped, turnover_rate, {q("ln(1 + market_turnover)")} AS log_turnover, coalesce(position('A' IN reason) > 0, false) AS is_a, net_buy_ratio > 0 AS net_buy, turnover_rate > 10 AS busy,
-  {q("f.after_1", 6)} AS after_1, {q("f.after_2", 6)} AS after_2, {q("f.after_5", 6)} AS after_5 FROM l LEFT JOIN {{forward_returns}} f ON f.code = l.code AND f.d = l.list_date WHERE r = 1""",
+    f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY code, list_date ORDER BY reason) AS r FROM {{leaderboard_rows}}),
+n AS (SELECT l.*, coalesce(TRY_CAST(nullif(regexp_extract(coalesce(interpretation, ''), '([0-9]+)家机构', 1), '') AS INT), 0) AS n_inst FROM l WHERE r = 1 AND NOT coalesce(position('退' IN name) > 0, false) AND market_turnover > 30000000)
+SELECT n.code, n.list_date AS d, greatest(-100, least(100, net_buy_ratio)) AS nbr, lhb_net_buy, pct_change, turnover_rate, n_inst, n_inst > 0 AS is_inst, n_inst = 0 AS is_retail, coalesce(position('买一主买' IN interpretation) > 0, false) AS is_buy1, coalesce(position('连续三个交易日' IN reason) > 0, false) AS is_repeat,
+  coalesce(pct_change >= 9.5, false) AS is_limit, coalesce(pct_change >= 5 AND pct_change < 9.5, false) AS is_large, coalesce(lhb_net_buy > 0, false) AS net_buy, ln(1 + abs(lhb_net_buy)) AS net_buy_abs, ln(1 + float_market_cap) AS log_cap, greatest(0, least(1, lhb_turnover / market_turnover)) AS lhb_ratio, after_1, after_2, after_5, after_10
+FROM n LEFT JOIN {{forward_returns}} f ON f.code = n.code AND f.d = n.list_date""",
 )
-Relation(
+Relation("leaderboard_features_q", "SELECT code, d, n_inst, is_inst, is_retail, is_buy1, is_repeat, is_limit, is_large, net_buy, " + ", ".join(f"{q(c)} AS {c}" for c in ("nbr", "lhb_net_buy", "pct_change", "turnover_rate", "net_buy_abs", "log_cap", "lhb_ratio", "after_1", "after_2", "after_5", "after_10")) + " FROM {leaderboard_features}")
+
+
+def spread_rank(df: DataFrame, group: str, order: list[str], method: str) -> DataFrame:
+    """df with ``r``, the rank of each row in its group, for groups that may hold the whole table.
+
+    Rows are dealt by ranges of (group, order), so equal ones meet; a rank is that inside the range plus the rows of the
+    ranges before, of which there is one count each. method: "average" of equals, or "first" (the order tells all apart).
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(df.repartitionByRange(parts, group, order[0]).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(group, "part").agg(F.count("*").alias("n"))
+    before = sizes.select(group, "part", F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy(group, "part").orderBy(*order)
+    inside = F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2 if method == "average" else F.row_number().over(w)
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), [group, "part"]).withColumn("r", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
+_FEATURES, _LABELS = ("nbr", "lhb_net_buy", "net_buy_abs", "pct_change", "turnover_rate", "log_cap", "lhb_ratio"), ("after_1", "after_2", "after_5", "after_10")
+
+
+def rank_ic(leaderboard_features: DataFrame) -> DataFrame:
+    """feature, label, n, ic: correlation of ranks over the rows that have both; null below 100 rows."""
+    pairs = [F.struct(F.lit(f"{f} {y}").alias("pair"), F.col(f).cast("double").alias("x"), F.col(y).alias("y")) for f in _FEATURES for y in _LABELS]
+    rows = leaderboard_features.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    both = spread_rank(spread_rank(rows, "pair", ["x"], "average").withColumnRenamed("r", "a"), "pair", ["y"], "average")
+    found = both.groupBy("pair").agg(F.count("*").alias("n"), F.when(F.count("*") >= 100, F.corr("a", "r")).alias("ic"))
+    return found.select(F.split("pair", " ")[0].alias("feature"), F.split("pair", " ")[1].alias("label"), "n", F.expr(q("ic", 3)).alias("ic"))
+
+
+Native(
     "rank_ic",
+    rank_ic,
+    ["leaderboard_features"],
     " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, count(*) AS n, CASE WHEN count(*) >= 100 THEN {q('corr(a, b)')} END AS ic FROM (SELECT rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS a, rank() OVER (ORDER BY after_5) + (count(*) OVER (PARTITION BY after_5) - 1) / 2.0 AS b FROM {{leaderboard_features}} WHERE {n} IS NOT NULL AND after_5 IS NOT NULL) t{k}"
-        for k, n in enumerate(("net_buy_ratio", "turnover_rate", "log_turnover"))
+        f"SELECT '{n}' AS feature, '{y}' AS label, count(*) AS n, CASE WHEN count(*) >= 100 THEN {q('corr(a, b)', 3)} END AS ic FROM (SELECT rank() OVER (ORDER BY {n}) + (count(*) OVER (PARTITION BY {n}) - 1) / 2.0 AS a, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS b FROM {{leaderboard_features}} WHERE {n} IS NOT NULL AND {y} IS NOT NULL) t"
+        for n in _FEATURES
+        for y in _LABELS
     ),
 )
-Relation(
+
+
+def quantile_groups(leaderboard_features: DataFrame, feature: str = "nbr", label: str = "after_5", bins: int = 5) -> DataFrame:
+    """bin, n, mean, wins of a label by equal-sized bins of a feature's rank, ties by security and day; empty below 200 rows."""
+    rows = leaderboard_features.filter(F.col(feature).isNotNull() & F.col(label).isNotNull()).select(F.lit(0).alias("all"), F.col(feature).alias("x"), "code", "d", F.col(label).alias("y"))
+    ranked = spread_rank(rows, "all", ["x", "code", "d"], "first")
+    n = ranked.agg(F.count("*").alias("total"))
+    found = ranked.crossJoin(F.broadcast(n)).filter("total >= 200").withColumn("bin", F.greatest(F.ceil((F.col("r") - 1) * bins / (F.col("total") - 1)) - 1, F.lit(0)).cast("int"))
+    return found.groupBy("bin").agg(F.count("*").alias("n"), F.expr(q("avg(y)")).alias("mean"), F.expr(q("avg(CASE WHEN y > 0 THEN 1.0D ELSE 0.0D END)")).alias("wins"))
+
+
+Native(
     "quantile_groups",
-    f"""WITH r AS (SELECT after_5, row_number() OVER (ORDER BY net_buy_ratio, code, d) AS k, count(*) OVER () AS n FROM {{leaderboard_features}} WHERE net_buy_ratio IS NOT NULL AND after_5 IS NOT NULL)
+    quantile_groups,
+    ["leaderboard_features"],
+    f"""WITH r AS (SELECT after_5, row_number() OVER (ORDER BY nbr, code, d) AS k, count(*) OVER () AS n FROM {{leaderboard_features}} WHERE nbr IS NOT NULL AND after_5 IS NOT NULL)
 SELECT CAST(greatest(ceil((k - 1) * 5.0 / (n - 1)) - 1, 0) AS INT) AS bin, count(*) AS n, {q("avg(after_5)")} AS mean, {q("avg(CASE WHEN after_5 > 0 THEN 1.0 ELSE 0.0 END)")} AS wins FROM r WHERE n >= 200 GROUP BY 1""",
 )
+_CATEGORIES = {"limit": "is_limit", "large": "is_large", "repeat": "is_repeat", "institutions": "is_inst", "others": "is_retail", "first buyer": "is_buy1", "net buying": "net_buy"}
+#: Categories overlap; each has its rows, and mean and share of gains after one and five bars.
 Relation(
     "category_returns",
-    " UNION ALL ".join(f"SELECT '{name}' AS category, count(*) AS n, {q('avg(after_5)')} AS mean, {q('count_if(after_5 > 0) * 100.0 / count(*)')} AS win_pct FROM {{leaderboard_features}} WHERE after_5 IS NOT NULL AND {cond}" for name, cond in (("all", "true"), ("net_buy", "net_buy"), ("busy", "busy"), ("is_a", "is_a"), ("strict", "net_buy_ratio > 15 AND turnover_rate < 12.5"))),
+    "WITH g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category" for c in _CATEGORIES) + f") SELECT category, count(*) AS n, {q('avg(after_1)')} AS mean_1, {q('count_if(after_1 > 0) * 100.0 / nullif(count(after_1), 0)')} AS wins_1, {q('avg(after_5)')} AS mean_5, {q('count_if(after_5 > 0) * 100.0 / nullif(count(after_5), 0)')} AS wins_5 FROM {{leaderboard_features}} JOIN g ON CASE category "
+    + " ".join(f"WHEN '{c}' THEN {x}" for c, x in _CATEGORIES.items()) + " END GROUP BY category",
+    oracle=" UNION ALL ".join(f"SELECT '{c}' AS category, count(*) AS n, {q('avg(after_1)')} AS mean_1, {q('avg(CASE WHEN after_1 > 0 THEN 100.0 WHEN after_1 IS NOT NULL THEN 0.0 END)')} AS wins_1, {q('avg(after_5)')} AS mean_5, {q('avg(CASE WHEN after_5 > 0 THEN 100.0 WHEN after_5 IS NOT NULL THEN 0.0 END)')} AS wins_5 FROM {{leaderboard_features}} WHERE {x} HAVING count(*) > 0" for c, x in _CATEGORIES.items()),
 )
-Relation("category_summary", f"SELECT substr(n_name, 1, 1) AS category, count(*) AS n, {q('avg(s_acctbal)')} AS mean FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20")
+#: A batch of backtests: score, signal and trades of every security, in the category of its last digit.
+Relation("batch_rows", "SELECT p.code, substr(p.code, 6, 1) AS category, p.s_star, p.signal, coalesce(t.trades, 0) AS trades, t.win_rate, t.total_pct FROM {comprehensive_prediction} p LEFT JOIN {backtest_comprehensive_summary} t ON t.code = p.code")
+Relation("category_summary", f"SELECT category, count(*) AS n, count_if(signal IN ('strong buy', 'buy')) AS buys, {q('coalesce(avg(s_star), 0)')} AS mean_score, {q('coalesce(avg(CASE WHEN trades > 0 THEN win_rate END), 0)')} AS mean_win_rate, {q('coalesce(avg(CASE WHEN trades > 0 THEN total_pct END), 0)', 3)} AS mean_total FROM {{batch_rows}} GROUP BY category")
+Relation("batch_leaders", "SELECT code, category, s_star, signal, trades, win_rate, total_pct, CAST(row_number() OVER (ORDER BY s_star DESC, code) AS INT) AS place FROM (SELECT * FROM {batch_rows} WHERE s_star IS NOT NULL ORDER BY s_star DESC, code LIMIT 20) x")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.core import Native, Relation, q
+from ..plans.core import Native, Relation, q, variant
 from .risk import RiskConfig, rebalance_weight
 
 # ---- trade lists -----------------------------------------------------------------------------------------------------
@@ -210,7 +210,7 @@ def macd_legacy_trades(ind_all: DataFrame, regime: DataFrame, divergences_legacy
 Native("backtest_macd_legacy", macd_legacy_trades, ["ind_all", "regime", "divergences_legacy"])
 #: Count, wins, rate and compounded return of a trade list.
 for _name in ("backtest_multifactor", "backtest_comprehensive", "backtest_macd_legacy"):
-    Relation(f"{_name}_summary", f"SELECT code, count(*) AS trades, count_if(profit_pct > 0) AS wins, {q('count_if(profit_pct > 0) * 100.0 / count(*)')} AS win_rate, {q('(exp(sum(ln(1 + profit_pct / 100))) - 1) * 100', 3)} AS total_pct FROM {{{_name}}} GROUP BY code")
+    Relation(f"{_name}_summary", f"SELECT code, count(*) AS trades, count_if(profit_pct > 0) AS wins, {q('count_if(profit_pct > 0) * 100.0 / count(*)')} AS win_rate, {q('CASE WHEN min(profit_pct) <= -100 THEN -100 ELSE (exp(sum(ln(CASE WHEN profit_pct > -100 THEN 1 + profit_pct / 100 END))) - 1) * 100 END', 3)} AS total_pct FROM {{{_name}}} GROUP BY code")
 
 
 def two_path(scores: DataFrame, flow_score: DataFrame, leaderboard_signals: DataFrame) -> DataFrame:
@@ -271,12 +271,25 @@ Native("backtest_two_path", two_path, ["scores", "flow_score", "leaderboard_sign
 
 # ---- accounts --------------------------------------------------------------------------------------------------------
 
-#: What a replay reads per bar. Features may come from adjusted bars; fills and actions are on raw ones.
+#: Features of a replay are those of bars with prices adjusted forward only; fills and actions are on raw ones. A bar
+#: after an open that no action explains, a reference that isn't positive, or a security whose history of rights isn't
+#: known makes its rows ineligible.
+ADJUSTED = variant("adjusted_rows", "dense", {"bars_sparse": "bars", "actions_sparse": "actions"})
+Relation("bars_adjusted", f"SELECT code, d, open, high, low, close, volume FROM {{{ADJUSTED}}}")
+Relation("history_quality", "SELECT DISTINCT code, substr(code, 6, 1) <> '7' AS allowed FROM {bars}")
+_ON_ADJUSTED = {"bars": "bars_adjusted"}
+Relation(
+    "atom_masks_allowed",
+    f"SELECT m.code, m.d, m.eligible AND NOT x.quarantined AND NOT x.bad AND h.allowed AS eligible, m.gate, m.nn, m.pos FROM {{{variant('atom_masks', 'adj', _ON_ADJUSTED)}}} m JOIN {{{ADJUSTED}}} x ON x.code = m.code AND x.d = m.d JOIN {{history_quality}} h ON h.code = m.code",
+)
+_FRONTS, _RISK, _TREND = variant("fronts", "allowed", {"atom_masks": "atom_masks_allowed"}), variant("risk_rows", "adj", _ON_ADJUSTED), variant("holding_trend", "adj", _ON_ADJUSTED)
+#: What a replay reads per bar.
 Relation(
     "replay_rows",
-    """SELECT b.code, b.d, k.ci, b.open, b.close, coalesce(a.cash_per_share, 0) AS act_cash, coalesce(a.share_multiplier, 1) AS act_mult, x.tradable, x.block_buy, x.block_sell, coalesce(f.layer = 1, false) AS front, coalesce(m.eligible, false) AS eligible, coalesce(m.gate, false) AS gate, r.annual_vol AS vol, r.daily_es AS es, t.known, t.entry, t.leave,
+    f"""SELECT b.code, b.d, k.ci, b.open, b.close, coalesce(a.cash_per_share, 0) AS act_cash, coalesce(a.share_multiplier, 1) AS act_mult, x.tradable, x.block_buy, x.block_sell, coalesce(f.layer = 1, false) AS front, coalesce(m.eligible, false) AS eligible, coalesce(m.gate, false) AS gate, h.allowed, r.annual_vol AS vol, r.daily_es AS es, t.known, t.entry, t.leave,
   lag(b.close) OVER (PARTITION BY b.code ORDER BY b.d) AS prev_close
-FROM {bars} b JOIN {calendar} k ON k.d = b.d JOIN {execution_blocks} x ON x.code = b.code AND x.d = b.d LEFT JOIN {actions} a ON a.code = b.code AND a.ex_date = b.d LEFT JOIN {fronts} f ON f.code = b.code AND f.d = b.d JOIN {atom_masks} m ON m.code = b.code AND m.d = b.d JOIN {risk_rows} r ON r.code = b.code AND r.d = b.d JOIN {holding_trend} t ON t.code = b.code AND t.d = b.d""",
+FROM {{bars}} b JOIN {{calendar}} k ON k.d = b.d JOIN {{execution_blocks}} x ON x.code = b.code AND x.d = b.d LEFT JOIN {{actions}} a ON a.code = b.code AND a.ex_date = b.d LEFT JOIN {{{_FRONTS}}} f ON f.code = b.code AND f.d = b.d JOIN {{atom_masks_allowed}} m ON m.code = b.code AND m.d = b.d JOIN {{{_RISK}}} r ON r.code = b.code AND r.d = b.d JOIN {{{_TREND}}} t ON t.code = b.code AND t.d = b.d JOIN {{history_quality}} h ON h.code = b.code
+WHERE b.open > 0 AND b.high > 0 AND b.low > 0 AND b.close > 0""",
 )
 
 LEDGER = "code string, version string, vol_target double, d date, seq int, kind string, reason string, quantity double, price double, gross double, fee double, cash double, shares double, target double, signal_d date, nav double"
@@ -361,14 +374,16 @@ class Book:
         return self.latched
 
 
-def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str, last_ci: int) -> list[dict]:
+def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str | None, last_ci: int, start: str | None = None) -> list[dict]:
     """The ledger of one security: actions, then the order of the last close (or the deadline's exit), then the close."""
     log: list[dict] = []
     book, order = Book(log), None
     for r in rows:
         day, ci, at = str(r["d"])[:10], int(r["ci"]), len(log)
-        if day > end:
+        if end is not None and day > end:
             break
+        if start is not None and day < start:
+            continue
         book.fresh = 0.0
         if r["act_cash"] or r["act_mult"] != 1:
             book.action(r["act_cash"], r["act_mult"])
@@ -384,14 +399,15 @@ def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str, l
         free = not leaves and ci > book.blocked_to
         known = r["vol"] is not None and r["es"] is not None
         cap = min(config.max_weight, config.annual_vol_target / max(r["vol"], 1e-8), config.es_budget / max(r["es"], 1e-8)) if known else 0.0
-        allowed = r["front"] and r["eligible"] and r["gate"] and free
+        sound = r["eligible"] and r.get("allowed", True)
+        allowed = r["front"] and sound and r["gate"] and free
         if not closing and version == "risk":
             want = cap if allowed else 0.0
             buy = book.commission + 0.00002 + book.slip
             to = rebalance_weight(book.shares * r["close"] / worth, want, r["vol"] or 0.0, buy, buy + STAMP_RATES[day >= STAMP_FROM], config, want)
             order = (to, r["d"], ci, "risk exit" if leaves else "risk target")
         elif not closing and version == "trend":
-            limit = cap if r["eligible"] and free and r["known"] else 0.0
+            limit = cap if sound and free and r["known"] else 0.0
             if book.shares:
                 if limit == 0 or r["leave"]:
                     order = (0.0, r["d"], ci, "risk exit" if leaves else "trend exit" if r["leave"] else "invalid")
@@ -399,7 +415,7 @@ def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str, l
                     order = (limit * 0.9, r["d"], ci, "risk cap")
             elif allowed and r["entry"] and limit > 0:
                 order = (limit * 0.9, r["d"], ci, "trend entry")
-        elif not closing and version == "benchmark" and book.builds == 0 and r["eligible"]:
+        elif not closing and version == "benchmark" and book.builds == 0 and sound:
             order = (1.0, r["d"], ci, "benchmark entry")
         if day == end and book.shares:
             ref = ((r["prev_close"] if r["prev_close"] is not None else r["close"]) - r["act_cash"]) / r["act_mult"]
@@ -411,9 +427,13 @@ def walk_account(rows: list[dict], version: str, config: RiskConfig, end: str, l
     return log
 
 
-def replay(replay_rows: DataFrame, calendar: DataFrame, version: str, vol_targets: tuple[float, ...] = (0.10,), end: str = "2023-08-20") -> DataFrame:
-    """Ledgers (LEDGER) of an account per security and volatility target, one row per event and per close."""
-    last_ci = calendar.filter(F.col("d") <= F.to_date(F.lit(end))).agg(F.max("ci")).first()[0] or 0
+def replay(replay_rows: DataFrame, calendar: DataFrame, version: str, vol_targets: tuple[float, ...] = (0.10,), end: str | None = None, start: str | None = None) -> DataFrame:
+    """Ledgers (LEDGER) of an account per security and volatility target, one row per event and per close.
+
+    start and end bound the sessions of the accounts; features look back further. Without them all sessions count.
+    """
+    last = (calendar.filter(F.col("d") <= F.to_date(F.lit(end))) if end else calendar).agg(F.max("ci"), F.max("d").cast("string")).first()
+    last_ci, end = last[0] or 0, end or last[1]
     kinds = {c: {"double": "float64", "int": "int32"}.get(t, object) for c, t in (x.split() for x in LEDGER.split(", "))}
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
@@ -421,7 +441,7 @@ def replay(replay_rows: DataFrame, calendar: DataFrame, version: str, vol_target
         rows = g.astype(object).where(g.notna(), None).to_dict("records")
         out = []
         for v in vol_targets:
-            for e in walk_account(rows, version, RiskConfig(annual_vol_target=v), end, last_ci):
+            for e in walk_account(rows, version, RiskConfig(annual_vol_target=v), end, last_ci, start):
                 out.append({"code": rows[0]["code"], "version": version, "vol_target": v, **e})
         # columns of their own type: one that no event fills would come out as doubles
         return pd.DataFrame({c: pd.Series([e.get(c) for e in out], dtype=kind) for c, kind in kinds.items()})

@@ -160,9 +160,29 @@ h AS (SELECT * FROM t WHERE sell_d IS NOT NULL), j AS (SELECT h.code, buy_d, sel
   FROM h JOIN {{actions_sparse}} a ON a.code = h.code AND a.ex_date > buy_d AND a.ex_date <= sell_d)
 SELECT code, buy_d, sell_d, count(*) AS events, {q("sum(cash * shares)", 6)} AS cash FROM j GROUP BY code, buy_d, sell_d""",
 )
-#: Stars of a decision: the first rule that holds, and its strength.
+#: The first rule that holds decides, for who holds and who doesn't; stars are its strength. Without evidence nothing is
+#: done: that is a precaution, not a signal. Scores don't sell a holding: only its trend or its risk cap does.
+_VETO = "greatest((coalesce(rsi, 50) - 92) / 8, (-0.6 - coalesce(obv_flow, 0)) / 0.4, 0)"
 Relation(
     "decisions",
-    f"""WITH x AS (SELECT f.code, f.d, f.layer, t.entry, t.leave, {_CAP} AS cap, b.block_buy FROM {{fronts}} f JOIN {{risk_rows}} r ON r.code = f.code AND r.d = f.d JOIN {{holding_trend}} t ON t.code = f.code AND t.d = f.d JOIN {{execution_blocks}} b ON b.code = f.code AND b.d = f.d)
-SELECT code, d, CASE WHEN cap = 0 THEN 'no risk' WHEN leave THEN 'exit' WHEN layer = 1 AND entry AND NOT block_buy THEN 'enter' WHEN layer = 1 THEN 'watch' ELSE 'hold' END AS decision, CAST(greatest(1, least(5, ceil(5 * cap))) AS INT) AS stars FROM x""",
+    f"""WITH x AS (SELECT m.code, m.d, m.eligible, m.gate, f.layer, i.rsi, i.obv_flow, annual_vol, daily_es, t.known, t.entry, t.leave, {_CAP} AS cap FROM {{atom_masks}} m JOIN {{ind_all}} i ON i.code = m.code AND i.d = m.d JOIN {{risk_rows}} r ON r.code = m.code AND r.d = m.d JOIN {{holding_trend}} t ON t.code = m.code AND t.d = m.d LEFT JOIN {{fronts}} f ON f.code = m.code AND f.d = m.d WHERE i.rn >= 60),
+h AS (SELECT x.*, g.holding FROM x JOIN (SELECT true AS holding UNION ALL SELECT false) g ON x.eligible IS NOT NULL),
+y AS (SELECT *, CASE WHEN NOT eligible THEN 'none' WHEN holding AND (annual_vol IS NULL OR daily_es IS NULL OR NOT known) THEN 'none' WHEN holding AND cap <= 0 THEN 'cap' WHEN holding AND leave THEN 'trend' WHEN holding THEN 'stay' WHEN NOT gate THEN 'gate' WHEN layer <> 1 THEN 'dominated' WHEN NOT entry THEN 'below' WHEN annual_vol IS NULL OR daily_es IS NULL OR layer IS NULL THEN 'none' WHEN cap <= 0 THEN 'cap' ELSE 'buy' END AS rule FROM h)
+SELECT code, d, holding, rule, CASE WHEN rule = 'none' THEN CASE WHEN holding THEN 'hold off' ELSE 'do not buy' END WHEN holding THEN CASE WHEN rule = 'stay' THEN 'hold' ELSE 'exit' END WHEN rule = 'buy' THEN 'buy' ELSE 'do not buy' END AS decision, CASE WHEN rule = 'none' THEN 'precaution' ELSE 'signal' END AS kind,
+  CAST(CASE rule WHEN 'none' THEN 1 WHEN 'cap' THEN 5 WHEN 'gate' THEN greatest(1, least(5, ceil(5 * {_VETO}))) WHEN 'buy' THEN greatest(1, least(5, ceil(5 * cap))) ELSE 3 END AS INT) AS stars FROM y""",
+    oracle="""WITH c AS (SELECT code, d, annual_vol AS v, daily_es AS s, coalesce(list_min([1.0, 0.1 / greatest(annual_vol, 1e-8), 0.02 / greatest(daily_es, 1e-8)]), 0) AS cap, annual_vol IS NULL OR daily_es IS NULL AS unknown FROM {risk_rows}),
+a AS (SELECT * FROM {atom_masks} JOIN c USING (code, d) JOIN {holding_trend} USING (code, d) JOIN (SELECT code, d, rn, rsi, obv_flow FROM {ind_all}) USING (code, d) LEFT JOIN (SELECT code, d, layer FROM {fronts}) USING (code, d) WHERE rn >= 60)
+SELECT code, d, true AS holding, CASE WHEN NOT eligible OR unknown OR NOT known THEN 'none' WHEN cap <= 0 THEN 'cap' WHEN leave THEN 'trend' ELSE 'stay' END AS rule, CASE WHEN NOT eligible OR unknown OR NOT known THEN 'hold off' WHEN cap <= 0 OR leave THEN 'exit' ELSE 'hold' END AS decision, CASE WHEN NOT eligible OR unknown OR NOT known THEN 'precaution' ELSE 'signal' END AS kind, CASE WHEN NOT eligible OR unknown OR NOT known THEN 1 WHEN cap <= 0 THEN 5 ELSE 3 END AS stars FROM a
+UNION ALL SELECT code, d, false, rule, CASE rule WHEN 'buy' THEN 'buy' ELSE 'do not buy' END, CASE rule WHEN 'none' THEN 'precaution' ELSE 'signal' END, stars FROM (SELECT code, d, CASE WHEN NOT eligible THEN 'none' WHEN NOT gate THEN 'gate' WHEN layer > 1 THEN 'dominated' WHEN NOT entry THEN 'below' WHEN unknown OR layer IS NULL THEN 'none' WHEN cap <= 0 THEN 'cap' ELSE 'buy' END AS rule,
+  CASE WHEN NOT eligible THEN 1 WHEN NOT gate THEN list_max([1, list_min([5, ceil(5 * list_max([(coalesce(rsi, 50) - 92) / 8, (-0.6 - coalesce(obv_flow, 0)) / 0.4]))])])::INT WHEN layer > 1 OR NOT entry THEN 3 WHEN unknown OR layer IS NULL THEN 1 WHEN cap <= 0 THEN 5 ELSE least(5, greatest(1, ceil(cap / 0.2)))::INT END AS stars FROM a) n""",
+)
+#: Trades with the dividends and share changes of their holding, (buy, sell], and the return after costs with both.
+Relation(
+    "trades_with_dividends",
+    f"""WITH t AS (SELECT code, buy_d, sell_d, buy, sell FROM {{trades_multifactor}}), j AS (SELECT t.*, a.ex_date, cash_per_share AS cash, share_multiplier AS mult, exp(sum(ln(share_multiplier)) OVER (PARTITION BY t.code, buy_d ORDER BY a.ex_date)) / share_multiplier AS shares FROM t JOIN {{actions}} a ON a.code = t.code AND a.ex_date > buy_d AND a.ex_date <= sell_d),
+s AS (SELECT code, buy_d, count(*) AS events, sum(cash * shares) AS cash, exp(sum(ln(mult))) AS mult FROM j GROUP BY code, buy_d)
+SELECT t.code, t.buy_d, t.sell_d, coalesce(events, 0) AS events, {q('coalesce(mult, 1)', 6)} AS share_multiplier, {q('coalesce(cash, 0)', 6)} AS dividends, {q('coalesce(cash, 0) / buy * 100')} AS yield_pct, {q('(sell * coalesce(mult, 1) * (1 - 0.0003 - 0.0005) + coalesce(cash, 0)) / (buy * (1 + 0.0003)) * 100 - 100')} AS total_pct FROM t LEFT JOIN s ON s.code = t.code AND s.buy_d = t.buy_d""",
+    oracle=f"""WITH e AS (SELECT t.code, t.buy_d, t.sell_d, t.buy, t.sell, list(struct_pack(c := cash_per_share, m := share_multiplier) ORDER BY ex_date) FILTER (ex_date IS NOT NULL) AS x FROM {{trades_multifactor}} t LEFT JOIN {{actions}} a ON a.code = t.code AND a.ex_date > t.buy_d AND a.ex_date <= t.sell_d GROUP BY ALL),
+p AS (SELECT *, coalesce(list_product(list_transform(x, lambda k: k.m)), 1) AS mult, coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i].c * coalesce(list_product(list_transform(x[1:i - 1], lambda k: k.m)), 1))), 0) AS cash FROM e)
+SELECT code, buy_d, sell_d, coalesce(len(x), 0) AS events, {q('mult', 6)} AS share_multiplier, {q('cash', 6)} AS dividends, {q('cash / buy * 100')} AS yield_pct, {q('(sell * mult * 0.9992 + cash) / (buy * 1.0003) * 100 - 100')} AS total_pct FROM p""",
 )

@@ -6,7 +6,10 @@ NULL does, and falls to the ELSE branch. Thresholds and weights below are fixed
 
 from __future__ import annotations
 
-from ..plans.core import Relation, q
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..plans.core import Native, Relation, half_even, q
 
 
 def vote(bull: str, bear: str) -> str:
@@ -39,7 +42,21 @@ _SUM = " + ".join(f"v_{n}" for n in VOTES)
 Relation("votes18", "SELECT code, d, rn, " + ", ".join(f"CASE WHEN rn < 60 THEN 0 ELSE {vote(*c)} END AS v_{n}" for n, c in VOTES.items()) + " FROM {ind_all}")
 Relation("consensus", f"SELECT code, d, CAST(floor(({_SUM}) / 18.0 * 1000 + 0.5) AS DOUBLE) / 10 AS consensus, CAST({' + '.join(f'CASE WHEN v_{n} > 0 THEN 1 ELSE 0 END' for n in VOTES)} AS INT) AS bulls, CAST({' + '.join(f'CASE WHEN v_{n} < 0 THEN 1 ELSE 0 END' for n in VOTES)} AS INT) AS bears FROM {{votes18}}")
 Relation("vote_panel", "SELECT code, d, bulls, bears, consensus, CASE WHEN bulls + bears > 0 THEN CAST(floor(bulls * 1000.0 / (bulls + bears) + 0.5) AS DOUBLE) / 10 END AS bull_pct FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {consensus}) x WHERE age = 1")
-Relation("contrarian", "SELECT code, d, CAST(50 - 0.08 * greatest(-100, least(100, consensus)) AS DOUBLE) AS adjusted FROM {consensus}")
+
+
+def contrarian(base: Column, consensus: Column, beta: float = 0.08) -> Column:
+    """A small correction of a score against the consensus of the votes."""
+    if not 0 <= beta <= 0.2:
+        raise ValueError("beta must be in [0, 0.2]")
+    return base - F.lit(float(beta)) * F.greatest(F.lit(-100.0), F.least(F.lit(100.0), consensus))
+
+
+Native(
+    "contrarian",
+    lambda scores: scores.select("code", "d", *[(F.floor(contrarian(F.col("base"), F.col("consensus"), b / 100) * 10000 + 0.4137).cast("double") / 10000).alias(f"beta_{b:02d}") for b in (0, 8, 20)]),
+    ["scores"],
+    "SELECT code, d, " + ", ".join(f"{q(f'base - {b / 100}::DOUBLE * CASE WHEN consensus > 100 THEN 100 WHEN consensus < -100 THEN -100 ELSE consensus END')} AS beta_{b:02d}" for b in (0, 8, 20)) + " FROM {scores}",
+)
 
 #: Price extremes of the previous 30 bars that have a DIF, and the DIF there; the first of equals counts.
 _PREV = "PARTITION BY code ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING"
@@ -101,12 +118,37 @@ RULES = {
 Relation("score_parts", "SELECT code, d, rn, open, close, high, top, dif, rsi, rv, obv_flow, CAST(floor((" + _SUM + ") / 18.0 * 1000 + 0.5) AS DOUBLE) / 10 AS consensus, " + ", ".join("50 + " + " + ".join(r) + f" AS {p}_score" for p, r in RULES.items()) + f" FROM (SELECT s.*, {_INLINE} FROM {{signal_rows}} s) x")
 Relation("scores", "SELECT x.*, CAST(0.40 * m_score + 0.30 * f_score + 0.15 * p_score + 0.15 * q_score AS DOUBLE) AS base, CAST(0.40 * m_score + 0.30 * f_score + 0.15 * p_score + 0.15 * q_score - 0.08 * consensus AS DOUBLE) AS s_star, coalesce(obv_flow >= -0.6 AND rv <= 92 AND NOT (m_score < 35 AND f_score < 40), false) AS gate FROM {score_parts} x")
 Relation("comprehensive_score", f"SELECT code, d, m_score, f_score, p_score, q_score, consensus, {q('base')} AS base, {q('s_star')} AS s_star, gate FROM {{scores}} WHERE dif IS NOT NULL")
+
+
+_LABELS = {"signal": ("strong buy", "buy", "hold", "reduce", "sell"), "action": ("buy", "buy", "wait", "do not buy", "do not buy"), "action_held": ("add", "keep", "reduce", "reduce", "sell")}
+
+
+def actions(x: str, steps: tuple[float, ...], vetoed: str | None = None) -> str:
+    """Signal, and action of who doesn't hold and who does, by four thresholds of a score; a veto waits."""
+    out = []
+    for name, labels in _LABELS.items():
+        cases = [f"WHEN {vetoed} THEN '{'veto' if name == 'signal' else 'wait'}'"] if vetoed else []
+        cases += [f"WHEN {x} >= {t} THEN '{label}'" for t, label in zip(steps, labels, strict=False)]
+        out.append(f"CASE {' '.join(cases)} ELSE '{labels[-1]}' END AS {name}")
+    return ", ".join(out)
+
+
+#: The state at the last bar, from 60 bars on: score and parts, signal and actions, which gates failed, key levels.
 Relation(
     "comprehensive_prediction",
-    f"""SELECT code, d, {q('s_star')} AS s_star, gate, CASE WHEN NOT gate THEN 'veto' WHEN s_star >= 70 THEN 'strong buy' WHEN s_star >= 69 THEN 'buy' WHEN s_star >= 50 THEN 'hold' WHEN s_star >= 40 THEN 'reduce' ELSE 'sell' END AS signal
-FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}}) x WHERE age = 1""",
+    f"SELECT x.code, x.d, {q('x.close')} AS close, m_score, f_score, p_score, q_score, {q('base')} AS base, {q('s_star - base')} AS adjustment, {q('s_star')} AS s_star, gate, {actions('s_star', (70, 69, 50, 40), 'NOT gate')}"
+    + f""", coalesce(x.obv_flow < -0.6, false) AS flow_failed, coalesce(rv > 92, false) AS rsi_failed, m_score < 35 AND f_score < 40 AS both_weak, top AS top_divergence, {q('ma20')} AS ma20, {q('ma60')} AS ma60, {q('boll_u')} AS boll_u, {q('boll_l')} AS boll_l,
+  CASE WHEN x.rn > 60 THEN {half_even('vol61')} END AS vol_60, CASE WHEN x.rn > 60 THEN {half_even('(x.close / c5 - 1) * 100')} END AS ret_5, CASE WHEN x.rn > 60 THEN {half_even('(x.close / c20 - 1) * 100')} END AS ret_20
+FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}}) x JOIN {{ind_all}} i ON i.code = x.code AND i.d = x.d WHERE age = 1 AND x.rn >= 60""",
+)
+_PLACES = [(p, k, r) for p, rules in RULES.items() for k, r in enumerate(rules)]
+#: Points of each rule at the last bar: its row is found once, then repeated for the sixteen rules.
+Relation(
+    "rule_breakdown",
+    "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {signal_rows}) x WHERE age = 1), g AS (" + " UNION ALL ".join(f"SELECT '{p}' AS part, {k} AS place" for p, k, _ in _PLACES) + ") SELECT code, d, part, place, CASE "
+    + " ".join(f"WHEN part = '{p}' AND place = {k} THEN {r}" for p, k, r in _PLACES) + " END AS points FROM l JOIN g ON place >= 0",
+    oracle="SELECT code, d, part, place, points FROM (" + " UNION ALL ".join(f"SELECT code, d, rn, '{p}' AS part, {k} AS place, {r} AS points, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{signal_rows}}" for p, k, r in _PLACES) + ") x WHERE age = 1",
 )
-Relation("rule_breakdown", "SELECT code, d, part, place, points FROM (" + " UNION ALL ".join(f"SELECT code, d, rn, '{p}' AS part, {k} AS place, {r} AS points, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{signal_rows}}" for p, rules in RULES.items() for k, r in enumerate(rules)) + ") x WHERE age = 1")
 Relation("feature_snapshot", f"SELECT s.code, s.d, {q('s.close')} AS close, {q('i.ma5')} AS ma5, {q('i.ma250')} AS ma250, {q('i.rsi')} AS rsi14, {q('i.wr')} AS wr10, {q('s.s_star')} AS s_star, s.gate, s.consensus FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}} WHERE rn >= 60) s JOIN {{ind_all}} i ON i.code = s.code AND i.d = s.d WHERE s.age = 1")
 
 #: Points of the multifactor score (backtest rules).
@@ -117,7 +159,18 @@ Relation(
   + CASE WHEN j < 0 THEN 2 WHEN j > 100 THEN -2 ELSE 0 END + CASE WHEN close < boll_l THEN 2 WHEN close > boll_u THEN -1 ELSE 0 END + CASE WHEN wr > 85 THEN 2 WHEN wr < 15 THEN -2 ELSE 0 END + CASE WHEN close > ma20 THEN 1 ELSE -1 END AS score
 FROM (SELECT i.*, lag(k) OVER w AS pk, lag(dd) OVER w AS pd FROM {ind_all} i WINDOW w AS (PARTITION BY code ORDER BY d)) x WHERE rn > 30""",
 )
-Relation("multifactor_prediction", "SELECT code, d, score, CASE WHEN score >= 4 THEN 'strong buy' WHEN score >= 2 THEN 'buy' WHEN score >= 0 THEN 'hold' WHEN score >= -2 THEN 'reduce' ELSE 'sell' END AS signal FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {multifactor_score}) x WHERE age = 1")
+#: Points of the predictor, whose bands are not the backtest's.
+_POINTS = """CASE WHEN rsi < 35 THEN 2 WHEN rsi > 70 THEN -2 WHEN rsi < 50 THEN 1 ELSE -1 END + CASE WHEN coalesce(k, 50) > coalesce(dd, 50) THEN 2 ELSE -2 END + CASE WHEN j < 0 THEN 2 WHEN j > 100 THEN -2 ELSE 0 END
+  + CASE WHEN close < coalesce(boll_l, close * 0.9) THEN 2 WHEN close > coalesce(boll_u, close * 1.1) THEN -1 ELSE 0 END + CASE WHEN wr > 80 THEN 1 WHEN wr < 20 THEN -1 ELSE 0 END + CASE WHEN close > ma20 THEN 1 ELSE -1 END"""
+#: The state at the last bar with an RSI, from the 36th on.
+Relation(
+    "multifactor_prediction",
+    f"SELECT code, d, score, {actions('score', (4, 2, 0, -2))}, coalesce(volume > v20 * 1.3, false) AS volume_boost, {q('ma20')} AS ma20 FROM (SELECT code, d, volume, v20, ma20, {_POINTS} AS score FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{ind_all}} WHERE rsi IS NOT NULL) x WHERE age = 1 AND rn > 35) y",
+    oracle=f"""WITH l AS (SELECT i.* FROM {{ind_all}} i JOIN (SELECT code, max(rn) AS rn FROM {{ind_all}} WHERE rsi IS NOT NULL GROUP BY code) m USING (code, rn) WHERE rn >= 36),
+p AS (SELECT *, [2, 1, -1, -2][1 + (rsi >= 35)::INT + (rsi >= 50)::INT + (rsi > 70)::INT] + [-2, 2][1 + (coalesce(k, 50) > coalesce(dd, 50))::INT] + coalesce([2, 0, -2][1 + (j >= 0)::INT + (j > 100)::INT], 0) + CASE WHEN close < boll_l THEN 2 WHEN close > boll_u THEN -1 ELSE 0 END + [-1, 0, 1][1 + (coalesce(wr, 50) >= 20)::INT + (coalesce(wr, 50) > 80)::INT] + [-1, 1][1 + coalesce(close > ma20, false)::INT] AS score FROM l)
+SELECT code, d, score::INT AS score, ['sell', 'reduce', 'hold', 'buy', 'strong buy'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS signal, ['do not buy', 'do not buy', 'wait', 'buy', 'buy'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS action,
+  ['sell', 'reduce', 'reduce', 'keep', 'add'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS action_held, coalesce(volume > v20 * 1.3, false) AS volume_boost, {q('ma20')} AS ma20 FROM p""",
+)
 
 # ---- regimes, cycles, whole-history divergences ----------------------------------------------------------------------
 
@@ -150,11 +203,25 @@ g AS (SELECT *, CASE WHEN rn - lag(rn) OVER (PARTITION BY code, kind ORDER BY rn
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY code, kind ORDER BY rn) AS cluster FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY code, kind, cluster ORDER BY o DESC, rn) AS k FROM c)
 SELECT code, d, kind FROM r WHERE k = 1""",
 )
+#: The state at the last bar with a DIF, from the 36th on: slopes over 5 and 10 bars, days until lines cross at that
+#: pace, and whether the last whole-history top of 120 days is being outrun by price but not by DIF.
 Relation(
     "macd_prediction",
-    """WITH x AS (SELECT code, d, rn, dif, dea, bar, lag(bar, 4) OVER w AS bar4, lag(dif, 4) OVER w AS dif4, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {ind_all} WINDOW w AS (PARTITION BY code ORDER BY d)),
-l AS (SELECT x.*, r.regime, (dif - dif4) / 5 AS slope FROM x JOIN {regime} r ON r.code = x.code AND r.d = x.d WHERE age = 1),
-t AS (SELECT l.code, max(CASE WHEN v.kind = 'top' THEN 1 ELSE 0 END) AS topped FROM l JOIN {divergences_legacy} v ON v.code = l.code AND @days(l.d, v.d) < 120 GROUP BY l.code),
-s AS (SELECT l.*, CASE WHEN dif > dea THEN 2 ELSE -2 END + CASE WHEN dif > 0 THEN 1 ELSE -1 END + CASE WHEN regime = 'bull' THEN 2 ELSE -2 END + CASE WHEN slope > 0 THEN 1 ELSE -1 END - CASE WHEN coalesce(topped, 0) = 1 AND dif > 0 THEN 3 ELSE 0 END AS score FROM l LEFT JOIN t ON t.code = l.code)
-SELECT code, d, score, CASE WHEN score >= 4 THEN 'strong buy' WHEN score >= 2 THEN 'buy' WHEN score >= 0 THEN 'hold' WHEN score >= -2 THEN 'reduce' ELSE 'sell' END AS signal, CASE WHEN slope * dif < 0 THEN CAST(floor(abs(dif) / abs(slope)) AS BIGINT) END AS days_to_zero FROM s""",
+    f"""WITH x AS (SELECT code, d, rn, close, dif, dea, bar, lag(bar) OVER w AS bar1, lag(dif, 5) OVER w AS dif5, lag(dif, 10) OVER w AS dif10 FROM {{ind_all}} WINDOW w AS (PARTITION BY code ORDER BY d)),
+l AS (SELECT x.*, r.regime, dif - dif5 AS s5, dif - dif10 AS s10 FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM x WHERE dif IS NOT NULL) x JOIN {{regime}} r ON r.code = x.code AND r.d = x.d WHERE age = 1 AND rn > 35),
+v AS (SELECT v.code, v.d, v.kind, i.close, i.dif FROM {{divergences_legacy}} v JOIN {{ind_all}} i ON i.code = v.code AND i.d = v.d),
+t AS (SELECT l.code, count_if(v.kind = 'top') AS tops, count_if(v.kind = 'bottom') AS bottoms, max(CASE WHEN v.kind = 'top' THEN v.d END) AS top_d, max_by(v.close, CASE WHEN v.kind = 'top' THEN v.d END) AS top_close, max_by(v.dif, CASE WHEN v.kind = 'top' THEN v.d END) AS top_dif FROM l JOIN v ON v.code = l.code WHERE @days(l.d, v.d) < 120 GROUP BY l.code),
+s AS (SELECT l.*, coalesce(tops, 0) AS tops, coalesce(bottoms, 0) AS bottoms, top_d, coalesce(l.close > top_close AND l.dif < top_dif, false) AS diverging FROM l LEFT JOIN t ON t.code = l.code),
+p AS (SELECT *, CASE WHEN dif > dea THEN 2 ELSE -2 END + CASE WHEN dif > 0 THEN 1 ELSE -1 END + CASE WHEN regime = 'bull' THEN 2 ELSE -2 END + CASE WHEN s5 > 0 THEN 1 WHEN s5 <= 0 THEN -1 ELSE 0 END - CASE WHEN diverging THEN 3 ELSE 0 END AS score FROM s)
+SELECT code, d, score, {actions('score', (4, 2, 0, -2))}, CASE WHEN dif > dea AND s5 < 0 THEN 'dead cross' WHEN NOT dif > dea AND s5 > 0 THEN 'golden cross' END AS cross_kind, CASE WHEN (dif > dea AND s5 < 0) OR (NOT dif > dea AND s5 > 0) THEN CAST(floor(abs(dif - dea) / abs(s5 / 5)) AS BIGINT) END AS cross_days,
+  CASE WHEN dif > 0 AND s10 < 0 THEN 'below zero' WHEN NOT dif > 0 AND s10 > 0 THEN 'above zero' END AS zero_kind, CASE WHEN (dif > 0 AND s10 < 0) OR (NOT dif > 0 AND s10 > 0) THEN CAST(floor(abs(dif) / abs(s10 / 10)) AS BIGINT) END AS zero_days, CASE WHEN bar < 0 AND bar > bar1 THEN 'bears weaken' WHEN bar > 0 AND bar < bar1 THEN 'bulls weaken' END AS bar_trend,
+  tops, bottoms, diverging, @days(d, top_d) AS last_top_days FROM p""",
+    oracle="""WITH a AS (SELECT code, list(struct_pack(d := d, rn := rn, c := close, f := dif, e := dea, b := bar) ORDER BY d) AS x FROM {ind_all} WHERE dif IS NOT NULL GROUP BY code), l AS (SELECT code, x[-1] AS n, x[-1].f - x[-6].f AS s5, x[-1].f - x[-11].f AS s10, x[-2].b AS b1 FROM a WHERE x[-1].rn > 35),
+v AS (SELECT l.code, list(struct_pack(d := t.d, c := i.close, f := i.dif) ORDER BY t.d) FILTER (t.kind = 'top') AS tops, count(*) FILTER (t.kind = 'bottom') AS bottoms FROM l JOIN {divergences_legacy} t ON t.code = l.code AND date_diff('day', t.d, l.n.d) < 120 JOIN {ind_all} i ON i.code = t.code AND i.d = t.d GROUP BY l.code),
+p AS (SELECT l.*, r.regime, coalesce(len(tops), 0) AS tops_, coalesce(bottoms, 0) AS bottoms_, tops[-1] AS top FROM l JOIN {regime} r ON r.code = l.code AND r.d = l.n.d LEFT JOIN v ON v.code = l.code),
+q AS (SELECT *, coalesce(n.c > top.c AND n.f < top.f, false) AS diverging, n.f > n.e AS golden FROM p),
+z AS (SELECT *, CAST((CASE WHEN golden THEN 2 ELSE -2 END) + (CASE WHEN n.f > 0 THEN 1 ELSE -1 END) + (CASE regime WHEN 'bull' THEN 2 ELSE -2 END) + (CASE WHEN s5 > 0 THEN 1 ELSE -1 END) - 3 * diverging::INT AS INT) AS score FROM q)
+SELECT code, n.d AS d, score, ['sell', 'reduce', 'hold', 'buy', 'strong buy'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS signal, ['do not buy', 'do not buy', 'wait', 'buy', 'buy'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS action, ['sell', 'reduce', 'reduce', 'keep', 'add'][1 + (score >= -2)::INT + (score >= 0)::INT + (score >= 2)::INT + (score >= 4)::INT] AS action_held,
+  CASE WHEN golden AND s5 < 0 THEN 'dead cross' WHEN NOT golden AND s5 > 0 THEN 'golden cross' END AS cross_kind, CASE WHEN golden = (s5 < 0) AND s5 <> 0 THEN floor(abs(n.f - n.e) / (abs(s5) / 5))::BIGINT END AS cross_days, CASE WHEN n.f > 0 AND s10 < 0 THEN 'below zero' WHEN n.f <= 0 AND s10 > 0 THEN 'above zero' END AS zero_kind,
+  CASE WHEN (n.f > 0) = (s10 < 0) AND s10 <> 0 THEN floor(abs(n.f) / (abs(s10) / 10))::BIGINT END AS zero_days, CASE WHEN n.b < 0 AND n.b > b1 THEN 'bears weaken' WHEN n.b > 0 AND n.b < b1 THEN 'bulls weaken' END AS bar_trend, tops_ AS tops, bottoms_ AS bottoms, diverging, date_diff('day', top.d, n.d) AS last_top_days FROM z""",
 )

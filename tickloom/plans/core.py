@@ -35,6 +35,12 @@ def q(x: str, digits: int = 4) -> str:
     return f"CAST(floor(({x}) * {n} + 0.4137) AS DOUBLE) / {n}"
 
 
+def half_even(x: str, digits: int = 1) -> str:
+    """SQL that rounds a double to so many digits, ties to the even one."""
+    n = f"(({x}) * {10**digits})"
+    return f"CASE WHEN abs({n} - floor({n}) - 0.5) < 1e-7 THEN CAST(floor({n} / 2 + 0.5) * 2 AS DOUBLE) ELSE CAST(floor({n} + 0.5) AS DOUBLE) END / {10**digits}"
+
+
 def render(sql: str, dialect: str) -> str:
     for a, b in (_SPARK if dialect == "spark" else _DUCK).items():
         sql = sql.replace(a, b)
@@ -83,7 +89,31 @@ class Native:
 
 #: Relations that cost much and are read by several others. Where a query reads one more than once it is written
 #: once: the plan stays small, its exchanges run once, and a lost executor costs a reread.
-KEEP = {"ind_all", "signal_rows", "scores", "atom_masks", "front_masks", "fronts", "factors", "composite", "replay_rows", "ledger_all", "accounts"}
+KEEP = {"ind_all", "signal_rows", "scores", "atom_masks", "front_masks", "fronts", "factors", "factor_values", "composite", "replay_rows", "ledger_all", "accounts", "adjusted_rows", "rebalance_ranks"}
+
+
+def variant(name: str, suffix: str, swap: dict[str, str]) -> str:
+    """Registers the relation, and all below it that reads an input named in ``swap``, over other inputs: name__suffix.
+
+    So rules are stated once and run on raw or adjusted bars alike. Returns the new name (or the old, if nothing changes).
+    """
+    if name in swap:
+        return swap[name]
+    r = RELATIONS.get(name)
+    if r is None:
+        return name
+    statement_inputs = _inputs(r.oracle) if r.oracle else []
+    names = {i: variant(i, suffix, swap) for i in dict.fromkeys([*r.inputs, *statement_inputs])}
+    if all(a == b for a, b in names.items()):
+        return name
+    new = f"{name}__{suffix}"
+    if new not in RELATIONS:
+        rename = lambda sql: sql and re.sub(r"\{(\w+)\}", lambda m: "{" + names[m[1]] + "}", sql)
+        if isinstance(r, Relation):
+            Relation(new, rename(r.sql), oracle=rename(r.oracle))
+        else:
+            Native(new, lambda **frames: r.function(**{i: frames[names[i]] for i in r.inputs}), [names[i] for i in r.inputs], rename(r.oracle))
+    return new
 
 
 @functools.cache
@@ -134,7 +164,7 @@ def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
         else:
             r = RELATIONS[name]
             df = r(**{i: build(spark, sf_dir, i, made, read) for i in r.inputs})
-            made[name] = keep(df, name) if name in KEEP and read.get(name, 0) > 1 else df
+            made[name] = keep(df, name) if name.split("__")[0] in KEEP and read.get(name, 0) > 1 else df
     return made[name]
 
 

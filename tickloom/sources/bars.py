@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.core import Relation
+from ..functions.scalars import MAIN_BOARD
+from ..plans.core import Relation, q
 
 SCHEMA = T.StructType([T.StructField("code", T.StringType()), T.StructField("d", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
 
@@ -80,6 +81,19 @@ Relation(
   sum(CASE WHEN o_orderpriority LIKE '1%' THEN -0.1 ELSE 0.1 END * o_totalprice) AS operating_cash_flow, CAST(5 * count(*) AS DOUBLE) AS roe,
   CAST(30 + o_custkey % 60 AS DOUBLE) AS debt_ratio, CAST((o_custkey % 25) / 10.0 AS DOUBLE) AS current_ratio FROM {orders} GROUP BY o_custkey, year(o_orderdate)""",
 )
+#: The same with gaps, a financial firm here and there, and a year reported twice.
+Relation(
+    "report_rows",
+    """SELECT code, y, CASE WHEN code % 13 = 1 AND y % 2 = 0 THEN NULL ELSE revenue END AS revenue, CASE WHEN code % 17 = 2 AND y % 3 = 0 THEN NULL ELSE core_profit END AS core_profit, CASE WHEN code % 19 = 3 AND y % 3 = 1 THEN NULL ELSE operating_cash_flow END AS operating_cash_flow,
+  CASE WHEN code % 11 = 4 AND y % 4 = 1 THEN NULL ELSE roe END AS roe, CASE WHEN code % 23 = 5 THEN NULL ELSE debt_ratio END AS debt_ratio, CASE WHEN code % 7 = 6 THEN NULL ELSE current_ratio END AS current_ratio, code % 29 = 7 AND y % 5 = 0 AS financial FROM {reports}""",
+)
+#: Leaderboard rows with all that providers give; the phrases are fixed values.
+Relation(
+    "leaderboard_rows",
+    """SELECT l.code, l.list_date, concat(l.reason, CASE WHEN l.reason LIKE 'A%' THEN '连续三个交易日内涨幅' ELSE '日涨幅' END) AS reason, CASE CAST(floor(turnover_rate) AS INT) % 3 WHEN 0 THEN concat(CAST(1 + CAST(floor(turnover_rate) AS INT) % 4 AS VARCHAR(4)), '家机构买入') WHEN 1 THEN '买一主买' END AS interpretation,
+  concat('S', l.code, CASE WHEN l.code LIKE '%9' THEN '退' ELSE '' END) AS name, net_buy_ratio, turnover_rate, market_turnover, net_buy_ratio / 100 * market_turnover AS lhb_net_buy, market_turnover * turnover_rate / 15 AS lhb_turnover, market_turnover * (1 + turnover_rate) AS float_market_cap, pct AS pct_change
+FROM {leaderboard} l LEFT JOIN (SELECT code, d, (close / lag(close) OVER (PARTITION BY code ORDER BY d) - 1) * 100 AS pct FROM {bars_jumpy}) b ON b.code = l.code AND b.d = l.list_date""",
+)
 
 # ---- scans and ingest ------------------------------------------------------------------------------------------------
 
@@ -109,7 +123,7 @@ Relation(
     "universe",
     """SELECT b.code, min(d) AS first_d, max(d) AS last_d, count(*) AS n, coalesce(max(s_name), '') AS name FROM {bars_sparse} b
   LEFT JOIN (SELECT CAST(600000 + s_suppkey AS VARCHAR(10)) AS code, s_name FROM {supplier} WHERE s_suppkey % 7 <> 0) s ON s.code = b.code
-  WHERE substr(b.code, 1, 3) IN ('600', '601', '603', '605', '000', '001', '002', '003') GROUP BY b.code""",
+  WHERE substr(b.code, 1, 3) IN (""" + ", ".join(f"'{p}'" for p in MAIN_BOARD) + ") GROUP BY b.code",
 )
 Relation(
     "volume_unit",
@@ -147,11 +161,21 @@ Relation(
     "months",
     """WITH m AS (SELECT DISTINCT CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS m FROM {bars_sparse}) SELECT y, m, make_date(y, m, 1) AS first_d, last_day(make_date(y, m, 1)) AS last_d FROM m""",
 )
+#: Jobs of ten runs in every state, with what a finished one measured.
+Relation(
+    "jobs",
+    """SELECT o_custkey % 10 AS run_id, o_orderkey AS code, status, CASE WHEN status = 'success' THEN CASE o_orderkey % 4 WHEN 0 THEN 'insufficient_history' WHEN 1 THEN 'stale_history' ELSE 'eligible' END WHEN status = 'failed' THEN 'fetch_failed' END AS result_status,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) END AS win_rate_pct, CAST(o_custkey % 41 AS DOUBLE) - 20 AS price_return_pct, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 9 AS BIGINT) END AS trade_count, CAST(o_orderkey % 4 AS BIGINT) AS win_count
+FROM (SELECT *, CASE WHEN o_custkey % 10 = 3 OR o_orderstatus = 'O' THEN 'success' WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'running' END AS status FROM {orders}) o""",
+)
+#: The thirteen measures of a run, its state, and the win rate over all trades.
 Relation(
     "run_progress",
-    """WITH j AS (SELECT o_custkey % 10 AS run_id, CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failed' ELSE 'pending' END AS status, o_totalprice AS profit, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice / 1000 END AS win FROM {orders})
-SELECT run_id, count(*) AS total, count_if(status = 'success') AS success, count_if(status = 'failed') AS failed, count_if(status = 'pending') AS pending,
-  CAST(floor(avg(CASE WHEN status = 'success' THEN profit END) * 100 + 0.4137) AS DOUBLE) / 100 AS mean_profit, count_if(win > 100) AS over_100,
-  CASE WHEN count_if(status = 'success') = count(*) THEN 'completed' ELSE 'running' END AS state FROM j GROUP BY run_id""",
+    f"""SELECT run_id, CASE WHEN count(*) = count_if(status = 'success') THEN 'completed' ELSE 'running' END AS state, count(*) AS total, count_if(status = 'success') AS success, count_if(status = 'failed') AS failed, count_if(status = 'pending') AS pending, count_if(status = 'running') AS running,
+  count_if(result_status = 'eligible') AS eligible, count_if(result_status = 'insufficient_history') AS insufficient, count_if(result_status = 'stale_history') AS stale, count_if(result_status = 'fetch_failed') AS fetch_failed,
+  {q("coalesce(avg(CASE WHEN status = 'success' AND result_status = 'eligible' THEN win_rate_pct END), 0)")} AS mean_win_rate, {q("coalesce(avg(CASE WHEN status = 'success' AND result_status = 'eligible' THEN price_return_pct END), 0)")} AS mean_return,
+  CAST(coalesce(sum(CASE WHEN status = 'success' THEN trade_count END), 0) AS BIGINT) AS trades, CAST(coalesce(sum(CASE WHEN status = 'success' THEN win_count END), 0) AS BIGINT) AS wins,
+  {q("coalesce(sum(CASE WHEN status = 'success' THEN win_count END) * 100.0 / nullif(sum(CASE WHEN status = 'success' THEN trade_count END), 0), 0)")} AS win_rate
+FROM {{jobs}} GROUP BY run_id""",
 )
 Relation("claim_order", "SELECT run_id, code, place FROM (SELECT o_custkey % 10 AS run_id, o_orderkey AS code, CAST(row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate, o_totalprice, o_orderkey) AS INT) AS place FROM {orders}) x WHERE place <= 20")
