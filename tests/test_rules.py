@@ -158,3 +158,73 @@ def test_decisions_take_the_first_rule_that_holds(spark):
     got = {(r.code, r.holding): (r.decision, r.stars) for r in out.collect()}
     for c, (_, free, held) in cases.items():
         assert (got[c, False], got[c, True]) == (free, held), c
+
+
+@pytest.fixture(scope="module")
+def account(spark):
+    """Bars, actions and calendar of one security, and the ledger of an account that trades, collects and leaves."""
+    from tickloom.operators import replay
+
+    days = [dt.date(2023, 8, 1) + dt.timedelta(days=k) for k in range(45)]
+    price = [10 + (k % 7) * 0.1 for k in range(45)]
+    acts = {12: (0.5, 1.1), 30: (0.2, 1.0)}
+    rows = []
+    for k, d in enumerate(days):
+        cash, mult = acts.get(k, (0.0, 1.0))
+        on = 3 <= k < 20 or 24 <= k
+        rows.append(("600001", d, k, price[k], price[k] + 0.05, cash, mult, True, False, False, on, on, on, 0.1 if k % 6 else 0.3, 0.01, True, on, not on, price[k - 1] + 0.05 if k else None))
+    schema = "code string, d date, ci int, open double, close double, act_cash double, act_mult double, tradable boolean, block_buy boolean, block_sell boolean, front boolean, eligible boolean, gate boolean, vol double, es double, known boolean, entry boolean, leave boolean, prev_close double"
+    calendar = spark.createDataFrame([(d, k) for k, d in enumerate(days)], "d date, ci int")
+    bars = spark.createDataFrame([("600001", d, p, p + 0.05) for d, p in zip(days, price, strict=True)], "code string, d date, open double, close double")
+    actions = spark.createDataFrame([("600001", days[k], *x) for k, x in acts.items()], "code string, ex_date date, cash_per_share double, share_multiplier double")
+    ledger = replay.replay(spark.createDataFrame(rows, schema), calendar, "risk").cache()
+    return ledger, {"bars": bars, "actions": actions, "calendar": calendar}
+
+
+def test_verifier_accepts_the_ledger_and_finds_what_is_changed(account):
+    from pyspark.sql import functions as F
+
+    ledger, others = account
+    fills = ledger.filter("kind IN ('build', 'add', 'reduce', 'exit')")
+    assert {r.kind for r in fills.collect()} == {"build", "add", "reduce", "exit"}
+
+    def faults(frame):
+        r = RELATIONS["ledger_check"](ledger_all=frame, **others).first().asDict()
+        return {k for k, v in r.items() if k not in ("version", "vol_target", "events", "actions", "accounts") and v}
+
+    assert faults(ledger) == set()
+    first = {k: fills.filter(f"kind = '{k}'").orderBy("d").first().d for k in ("build", "reduce", "exit")}
+    paid = ledger.filter("kind = 'action' AND gross > 0").orderBy("d").first().d
+
+    def changed(column, value, kind, day):
+        return ledger.withColumn(column, F.when((F.col("kind") == kind) & (F.col("d") == F.lit(day)), value).otherwise(F.col(column)))
+
+    assert "bad_fee" in faults(changed("fee", F.col("fee") + 1, "reduce", first["reduce"]))
+    assert "bad_price" in faults(changed("price", F.col("price") * 1.01, "build", first["build"]))
+    assert "bad_lot" in faults(changed("quantity", F.col("quantity") + 50, "build", first["build"]))
+    assert "bad_balance" in faults(changed("cash", F.col("cash") + 5, "exit", first["exit"]))
+    assert "bad_kind" in faults(changed("kind", F.lit("add"), "build", first["build"]))
+    assert "bad_signal" in faults(changed("signal_d", F.col("d"), "build", first["build"]))
+    assert "bad_action" in faults(changed("gross", F.col("gross") + 1, "action", paid))
+    assert "bad_nav" in faults(changed("nav", F.col("nav") + 1, "close", first["build"]))
+    assert "missing_actions" in faults(ledger.filter(~((F.col("kind") == "action") & (F.col("d") == F.lit(paid)))))
+
+
+def test_curve_carries_values_over_missing_bars(spark, account):
+    ledger, others = account
+    gone = [DAY, dt.date(2023, 8, 20)]
+    thin = ledger.withColumn("version", ledger.version).filter(~ledger.d.isin(gone))
+    rows = {r.d: r for r in RELATIONS["nav_curve"](ledger_trend=thin, calendar=others["calendar"]).collect()}
+    close = {r.d: r.nav for r in ledger.filter("kind = 'close'").collect()}
+    assert abs(rows[dt.date(2023, 8, 20)].nav - close[dt.date(2023, 8, 19)]) < 0.02 and abs(rows[dt.date(2023, 8, 25)].nav - close[dt.date(2023, 8, 25)]) < 0.02
+
+
+def test_dividend_profiles_by_hand(spark):
+    ex = dt.date(2022, 5, 5)
+    rows = [
+        (1, "10送3股转增2派1.5元(含税)", 3.0, 2.0, 1.5, "实施分配", ex, None), (2, "10派2.00元", None, None, 2.0, "实施分配", ex, ex), (3, "10派2.00元", None, None, 2.01, "实施分配", ex, None), (4, "10派2派3", None, None, 2.0, "实施分配", ex, None),
+        (5, "不详", None, 0.0, 2.0, "实施分配", ex, None), (6, "10转5", 0.0, 5.0, 0.0, "预案", None, None), (7, "10转5", None, 5.0, None, "实施分配", None, None), (8, "10派0", 0.0, 0.0, 0.0, "实施分配", None, None), (9, "10转5", None, 5.0, None, "实施分配", ex, ex + dt.timedelta(days=1)), (10, "10转5", None, 5.0, None, "?", ex, None), (11, "10转5", None, 5.0, None, "实施分配", dt.date(2019, 1, 1), None),
+    ]
+    got = {r.k: (r.status, r.cash_per_share, r.share_multiplier) for r in RELATIONS["dividend_text"](dividend_rows=spark.createDataFrame(rows, "k int, profile string, bonus double, transfer double, cash double, progress string, ex_date date, record_date date")).collect()}
+    assert got[1] == ("ok", 0.15, 1.5) and got[2] == ("ok", 0.2, 1.0)
+    assert {k: v[0] for k, v in got.items() if k > 2} == {3: "conflict", 4: "repeated component", 5: "missing number", 6: "skip", 7: "no ex-date", 8: "skip", 9: "record after ex-date", 10: "unknown progress", 11: "skip"}

@@ -151,10 +151,88 @@ Relation(
     """WITH r AS (SELECT code, ex_date, least(ex_date, ex_date + CAST(cash_per_share * 100 AS INT)) AS a, greatest(ex_date, ex_date + CAST(cash_per_share * 300 AS INT)) AS z, cash_per_share AS issue FROM {actions_sparse})
 SELECT code, ex_date, issue, a <= DATE '1996-12-31' AND z >= DATE '1995-01-01' AS overlaps, issue > 0 AS issued FROM r""",
 )
+# ---- provider rows: bars, dividends, rights, coverage -----------------------------------------------------------------
+
+#: A provider's bars at half past two of the last session: exact and conflicting repeats, broken and future rows.
+Relation(
+    "bar_feed",
+    """WITH b AS (SELECT code, d, open, high, low, close, volume, row_number() OVER (PARTITION BY code ORDER BY d) AS k FROM {bars}), e AS (SELECT b.*, substr(code, 6, 1) AS digit FROM b)
+SELECT code, d, open, high, low, close, volume FROM e UNION ALL SELECT code, d, open, high, low, close + CASE WHEN digit = '2' AND k = 9 THEN 0.01 ELSE 0 END, volume FROM e WHERE digit IN ('1', '2') AND k % 3 = 0
+UNION ALL SELECT code, d + 1000, open, high, low, close, volume FROM e WHERE digit = '3' AND k = 5 UNION ALL SELECT code, d - 30, open, low, high, close, volume FROM e WHERE digit = '4' AND k = 5 UNION ALL SELECT code, d - 4000, open, high, low, close, volume FROM e WHERE digit = '5' AND k <= 3""",
+)
+#: Per security: whether the feed stands, why not, and what is kept. Equal repeats are one row, others reject the feed; so
+#: do broken ranges and future days. The session of ``now`` counts from 15:00 on, and history from its first day.
+NOW, HISTORY_FROM = "TIMESTAMP '2023-11-08 14:30:00'", "DATE '2015-01-01'"
+Relation(
+    "bar_ingest",
+    f"""WITH u AS (SELECT code, d, open, high, low, close, volume, count(*) AS copies FROM {{bar_feed}} GROUP BY code, d, open, high, low, close, volume), x AS (SELECT *, count(*) OVER (PARTITION BY code, d) AS versions FROM u),
+s AS (SELECT code, count_if(d > CAST({NOW} AS DATE)) AS future, count_if(NOT (open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0 AND high >= greatest(open, low, close) AND low <= least(open, high, close))) AS broken, count_if(versions > 1) AS conflicting, sum(copies - 1) AS repeats,
+  count_if(d = CAST({NOW} AS DATE) AND hour({NOW}) < 15) AS unfinished, count_if(d >= {HISTORY_FROM} AND NOT (d = CAST({NOW} AS DATE) AND hour({NOW}) < 15)) AS bars, min(CASE WHEN d >= {HISTORY_FROM} THEN d END) AS first_d FROM x GROUP BY code)
+SELECT code, CASE WHEN future > 0 THEN 'future' WHEN broken > 0 THEN 'invalid' WHEN conflicting > 0 THEN 'conflict' WHEN bars = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN future + broken + conflicting = 0 THEN bars ELSE 0 END AS kept, CAST(repeats AS BIGINT) AS repeats, unfinished > 0 AS unfinished, first_d FROM s""",
+    oracle=f"""WITH f AS (SELECT DISTINCT * FROM {{bar_feed}}), d AS (SELECT code, d, count(*) AS v FROM f GROUP BY ALL), j AS (SELECT code, bool_or(d > DATE '2023-11-08') AS future, bool_or(least(open, high, low, close) <= 0 OR high <> greatest(open, high, low, close) OR low <> least(open, high, low, close)) AS broken FROM f GROUP BY code)
+SELECT j.code, CASE WHEN future THEN 'future' WHEN broken THEN 'invalid' WHEN max(v) > 1 THEN 'conflict' WHEN count(*) FILTER (d.d >= {HISTORY_FROM} AND d.d <> DATE '2023-11-08') = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN future OR broken OR max(v) > 1 THEN 0 ELSE count(*) FILTER (d.d >= {HISTORY_FROM} AND d.d <> DATE '2023-11-08') END AS kept,
+  (SELECT count(*) FROM {{bar_feed}} r WHERE r.code = j.code) - (SELECT count(*) FROM f r WHERE r.code = j.code) AS repeats, bool_or(d.d = DATE '2023-11-08') AS unfinished, min(d.d) FILTER (d.d >= {HISTORY_FROM}) AS first_d FROM j JOIN d USING (code) GROUP BY j.code, future, broken""",
+)
+#: Dividend rows as a provider prints them: a profile per ten shares, and its numbers, which may be missing or disagree.
+#: Words of the profile and of the progress are fixed values.
+Relation(
+    "dividend_rows",
+    """SELECT p_partkey AS k, concat('10', CASE WHEN p_size % 3 = 0 THEN concat('送', CAST(p_size % 5 AS VARCHAR(9)), '股') ELSE '' END, CASE WHEN p_size % 4 = 1 THEN concat('转增', CAST(p_size % 7 AS VARCHAR(9)), '.5') ELSE '' END, CASE WHEN p_size % 2 = 0 THEN concat('派', CAST(p_size AS VARCHAR(9)), '.25元') ELSE '' END, CASE WHEN p_size = 10 THEN '派1' WHEN p_size = 21 THEN '?' ELSE '' END, '(含税)') AS profile,
+  CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 5 AS DOUBLE) WHEN p_partkey % 2 = 0 THEN NULL ELSE CAST(0 AS DOUBLE) END AS bonus, CASE WHEN p_size % 4 = 1 THEN p_size % 7 + CAST(0.5 AS DOUBLE) ELSE NULL END AS transfer, CASE WHEN p_size % 2 = 0 THEN p_size + CASE WHEN p_partkey % 9 = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.254 AS DOUBLE) END WHEN p_partkey % 2 = 0 THEN NULL ELSE CAST(0 AS DOUBLE) END AS cash,
+  CASE p_partkey % 8 WHEN 0 THEN '预案' WHEN 1 THEN '不分配' WHEN 2 THEN '搁置' ELSE '实施分配' END AS progress, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE DATE '2020-01-01' + CAST(p_partkey % 2000 AS INT) END AS ex_date, CASE WHEN p_partkey % 13 = 0 THEN DATE '2030-01-01' ELSE DATE '2020-01-01' END AS record_date FROM {part}""",
+)
+_NUMBER = "([0-9]+(?:[.][0-9]+)?)(?:股|元)?"
+_FROM, _TO = "DATE '2021-01-01'", "DATE '2024-12-31'"
+
+
+def _component(name: str, words: str, mark: str) -> str:
+    """SQL columns of a profile's component: its number (0 if it isn't there), the tolerance of its digits, and a repeat."""
+    text = f"regexp_extract(main, '{words}{_NUMBER}', 1)"
+    digits = f"CASE WHEN position('.' IN {text}) > 0 THEN greatest(2, length({text}) - position('.' IN {text})) ELSE 2 END"
+    return f"coalesce(TRY_CAST(nullif({text}, '') AS DOUBLE), 0) AS p_{name}, CASE WHEN {text} = '' THEN 1e-10 ELSE 0.5 * power(CAST(10 AS DOUBLE), -({digits})) + 1e-10 END AS t_{name}, length(main) - length(replace(main, '{mark}', '')) > 1 AS again_{name}"
+
+
+_TOKEN = f"(?:送|转增|转|派){_NUMBER}"
+#: Cash per share and share multiplier of a dividend row, or why it has none. A missing number is 0 only if the profile can
+#: be read as a whole and doesn't name it; a number that differs from the profile by more than its digits allow is an error.
 Relation(
     "dividend_text",
-    """WITH t AS (SELECT p_partkey AS k, '10' || CASE p_partkey % 3 WHEN 0 THEN ' pays ' ELSE ' sends ' END || CAST(p_size AS VARCHAR(10)) || '.5' AS profile FROM {part})
-SELECT k, CAST(regexp_extract(profile, '([0-9]+[.][0-9]+)$', 1) AS DOUBLE) / 10 AS per_share, regexp_extract(profile, ' ([a-z]+) ', 1) AS kind FROM t""",
+    f"""WITH m AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(profile, '[（(].*$', ''), '[ ]', ''), '^10(.*)$', 1) AS main FROM {{dividend_rows}}),
+c AS (SELECT *, {_component('bonus', '送', '送')}, {_component('transfer', '(?:转增|转)', '转')}, {_component('cash', '派', '派')}, main <> '' AND regexp_replace(regexp_replace(regexp_replace(main, '{_TOKEN}', ''), '{_TOKEN}', ''), '{_TOKEN}', '') = '' AS known FROM m),
+v AS (SELECT *, {", ".join(f"CASE WHEN {n} IS NULL AND known AND p_{n} = 0 THEN 0 ELSE {n} END AS v_{n}" for n in ("bonus", "transfer", "cash"))} FROM c),
+e AS (SELECT *, CASE WHEN progress IN ('预案', '董事会预案', '股东大会预案', '股东大会通过', '不分配', '取消分配', '取消') THEN 'skip' WHEN progress <> '实施分配' THEN 'unknown progress' WHEN again_bonus OR again_transfer OR again_cash THEN 'repeated component' WHEN v_bonus IS NULL OR v_transfer IS NULL OR v_cash IS NULL THEN 'missing number'
+  WHEN known AND ({" OR ".join(f"abs(v_{n} - p_{n}) > t_{n}" for n in ("bonus", "transfer", "cash"))}) THEN 'conflict' WHEN ex_date IS NULL AND v_cash = 0 AND v_bonus + v_transfer = 0 THEN 'skip' WHEN ex_date IS NULL THEN 'no ex-date' WHEN ex_date < {_FROM} OR ex_date > {_TO} THEN 'skip' WHEN record_date > ex_date THEN 'record after ex-date' ELSE 'ok' END AS status FROM v)
+SELECT k, status, CASE WHEN status = 'ok' THEN {q('v_cash / 10', 6)} END AS cash_per_share, CASE WHEN status = 'ok' THEN {q('1 + (v_bonus + v_transfer) / 10', 6)} END AS share_multiplier FROM e""",
+)
+#: Evidence that a security's actions are known: every given gate must hold, gates that aren't given are open.
+Relation(
+    "coverage",
+    """SELECT code, max(d) AS last_d, min(d) AS first_d, CASE substr(code, 6, 1) WHEN '1' THEN 'error' ELSE 'ok' END AS status, CASE substr(code, 6, 1) WHEN '2' THEN true WHEN '3' THEN NULL ELSE false END AS rights, CASE substr(code, 6, 1) WHEN '4' THEN true ELSE false END AS blocked, CASE substr(code, 6, 1) WHEN '5' THEN false WHEN '6' THEN NULL ELSE true END AS matches_quote,
+  CASE substr(code, 6, 1) WHEN '7' THEN false ELSE true END AS complete, CASE substr(code, 5, 1) WHEN '1' THEN min(d) + 1 WHEN '2' THEN NULL ELSE min(d) END AS covered_from, CASE substr(code, 5, 1) WHEN '3' THEN max(d) - 1 WHEN '4' THEN DATE '2030-01-01' ELSE max(d) END AS covered_to, CASE substr(code, 5, 1) WHEN '5' THEN max(d) - 1 WHEN '6' THEN NULL ELSE max(d) END AS quote_d FROM {bars} GROUP BY code""",
+)
+Relation(
+    "verified_actions",
+    """WITH t AS (SELECT max(d) AS today FROM {bars}), e AS (SELECT code, bool_and(ex_date <= today AND cash_per_share >= 0 AND share_multiplier > 0) AS sound FROM {actions} JOIN t ON today IS NOT NULL GROUP BY code)
+SELECT c.code, coalesce(status = 'ok' AND rights = false AND blocked = false, false) AND coalesce(matches_quote, true) AND coalesce(complete, true) AND coalesce(covered_from <= first_d, true) AND coalesce(covered_to >= last_d AND covered_to <= today, true) AND coalesce(quote_d = last_d, true) AND coalesce(sound, true) AS verified
+FROM {coverage} c JOIN t ON today IS NOT NULL LEFT JOIN e ON e.code = c.code""",
+)
+#: Rows as canonical JSON (keys in order, no spaces) with their digest, paths hidden, amounts with separators.
+Relation(
+    "canonical_rows",
+    """WITH j AS (SELECT s_suppkey AS k, concat(chr(123), '"code":"', CAST(600000 + s_suppkey AS VARCHAR(10)), '","nation":', CAST(s_nationkey AS VARCHAR(10)), ',"positive":', CASE WHEN s_acctbal > 0 THEN 'true' ELSE 'false' END, chr(125)) AS body, concat('saved in /home/user_', CAST(s_suppkey AS VARCHAR(10)), '/runs/x.json, again') AS note, CAST(floor(abs(s_acctbal)) AS BIGINT) AS units FROM {supplier})
+SELECT k, body, sha256_hex, regexp_replace(note, '(?:/home|/Users|/tmp|/mnt|/var)/[^ ,]+', '<path>') AS note, CASE WHEN units >= 1000 THEN concat(CAST(CAST(floor(units / 1000) AS BIGINT) AS VARCHAR(20)), ',', lpad(CAST(units % 1000 AS VARCHAR(3)), 3, '0')) ELSE CAST(units AS VARCHAR(20)) END AS amount FROM (SELECT *, @sha256(body) AS sha256_hex FROM j) x""",
+)
+#: Names of securities, the newest row of each with a name that isn't blank; older ones stay where the new has none.
+Relation(
+    "name_upsert",
+    """WITH o AS (SELECT CAST(600000 + s_suppkey AS VARCHAR(10)) AS code, s_name AS name, 0 AS version FROM {supplier}), n AS (SELECT CAST(600000 + c_custkey AS VARCHAR(10)) AS code, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS name, 1 AS version FROM {customer} WHERE c_custkey % 3 = 0),
+u AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE trim(name) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY version DESC) AS k FROM u) SELECT code, name FROM r WHERE k = 1""",
+)
+#: Runs of one kind a day: the newest of a day is current, older ones that didn't finish are superseded by it.
+Relation(
+    "run_states",
+    """WITH r AS (SELECT o_orderkey AS run_id, o_custkey % 7 AS kind, o_orderdate AS day, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS state FROM {orders}), x AS (SELECT *, row_number() OVER (PARTITION BY kind, day ORDER BY run_id DESC) AS age FROM r)
+SELECT run_id, kind, CASE WHEN age > 1 AND state = 'running' THEN 'superseded' ELSE state END AS state, age = 1 AS current FROM x""",
 )
 Relation("adj_factor", "SELECT a.code, a.d, CAST(floor(a.close / b.close * 1000000 + 0.5) AS DOUBLE) / 1000000 AS factor FROM {bars_jumpy} a JOIN {bars_sparse} b ON a.code = b.code AND a.d = b.d WHERE abs(a.close / b.close - 1) > 0.000001")
 Relation(
