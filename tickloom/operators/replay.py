@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.core import Native, Relation, q, variant
@@ -213,56 +213,78 @@ for _name in ("backtest_multifactor", "backtest_comprehensive", "backtest_macd_l
     Relation(f"{_name}_summary", f"SELECT code, count(*) AS trades, count_if(profit_pct > 0) AS wins, {q('count_if(profit_pct > 0) * 100.0 / count(*)')} AS win_rate, {q('CASE WHEN min(profit_pct) <= -100 THEN -100 ELSE (exp(sum(ln(CASE WHEN profit_pct > -100 THEN 1 + profit_pct / 100 END))) - 1) * 100 END', 3)} AS total_pct FROM {{{_name}}} GROUP BY code")
 
 
-def two_path(scores: DataFrame, flow_score: DataFrame, leaderboard_signals: DataFrame) -> DataFrame:
-    """code, final cash: path one builds in quarters by score and trails; path two is all in for two bars after a leaderboard signal."""
-    s = leaderboard_signals.select("code", "d", F.lit(True).alias("listed"))
-    rows = scores.select("code", "d", "rn", "open", "high", "close", "dif", "s_star", "gate").join(flow_score, ["code", "d"], "left").join(s, ["code", "d"], "left")
-    capital = 1_000_000.0
+class Purse:
+    """Cash and shares in any amount, without costs. One order waits for the next open: a value to hold, and a direction."""
+
+    def __init__(self, capital: float):
+        self.capital, self.cash, self.shares, self.paid, self.high = capital, capital, 0.0, 0.0, 0.0
+        self.waiting: tuple[float, bool] | None = None
+
+    def fill(self, price: float) -> None:
+        """Trade towards the ordered value; an order whose value the price has already passed lapses."""
+        value, up = self.waiting or (0.0, True)
+        self.waiting = None
+        gap = value - self.shares * price
+        if up and gap > 0 and self.cash > 0:
+            spent = min(self.cash, gap)
+            self.cash, self.shares, self.paid, self.high = self.cash - spent, self.shares + spent / price, self.paid + spent, price
+        elif not up and gap < 0:
+            kept = 1 + gap / (self.shares * price)
+            self.cash, self.shares, self.paid = self.cash - gap, self.shares * kept, self.paid * kept
+        if self.shares <= 1e-9:
+            self.shares = self.paid = self.high = 0.0
+
+    def sell(self, price: float) -> None:
+        self.cash, self.shares, self.paid, self.high = self.cash + self.shares * price, 0.0, 0.0, 0.0
+
+
+def two_path(scores: DataFrame, flow_score: DataFrame, leaderboard_signals: DataFrame, start: str | None = None) -> DataFrame:
+    """code, final cash. A leaderboard signal goes all in for two bars; otherwise quarters are built by score and trailed.
+
+    What a bar says by itself (the share its score asks for, a limit-up that didn't hold, weakness against its own mean) is
+    made by window expressions; the walk only knows the purse.
+    """
+    w = Window.partitionBy("code").orderBy("d")
+    score = F.col("s_star") + F.coalesce("z", F.lit(0.0))
+    limit = F.round(F.lag("close").over(w) * 1.1, 2)
+    listed = leaderboard_signals.select("code", "d", F.lit(True).alias("listed"))
+    rows = scores.select("code", "d", "open", "high", "close", "dif", "s_star", "gate").join(flow_score, ["code", "d"], "left").join(listed, ["code", "d"], "left")
+    rows = rows.select(
+        "code", "d", "open", "close", F.col("dif").isNotNull().alias("known"), (F.coalesce("listed", F.lit(False)) & F.col("gate")).alias("all_in"), ((score >= 69) & F.col("gate")).alias("enter"),
+        F.when(score >= 85, 1.0).when(score >= 80, 0.75).when(score >= 75, 0.5).otherwise(0.25).alias("share"), F.coalesce(((F.col("high") >= limit) & (limit > F.col("close"))) | (score < 35), F.lit(False)).alias("halve"), (F.col("close") < F.avg("close").over(w.rowsBetween(-4, 0))).alias("weak"),
+        F.coalesce(F.col("d") >= F.to_date(F.lit(start)), F.lit(True)).alias("counts"),
+    )
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("d").reset_index(drop=True)
-        cash, shares, cost, high = capital, 0.0, 0.0, 0.0
-        order: tuple[str, float] | None = None
-        due = None
+        g = g.sort_values("d")
+        opens, closes, known, all_in, enter, share, halve, weak, counts = (g[c].to_numpy() for c in ("open", "close", "known", "all_in", "enter", "share", "halve", "weak", "counts"))
+        purse, leave = Purse(1_000_000.0), None
         for i in range(60, len(g)):
-            b = g.iloc[i]
-            price = b["open"]
-            if order is not None:
-                side, part = order
-                gap = (cash if side == "all" else capital * part - shares * price) if side != "sell" else shares * price - capital * part
-                if side != "sell" and gap > 0 and cash > 0:
-                    spent = min(cash, gap)
-                    cost = (cost * shares + spent) / (shares + spent / price)
-                    shares, cash, high = shares + spent / price, cash - spent, price
-                elif side == "sell" and gap > 0:
-                    shares, cash = shares - gap / price, cash + gap
-                order = None
-                if shares <= 1e-9:
-                    shares = cost = high = 0.0
-            if due is not None and i >= due:
-                cash, shares, cost, high, due = cash + shares * price, 0.0, 0.0, 0.0, None
-            if pd.isna(b["dif"]):
+            if not counts[i]:
+                continue
+            if purse.waiting:
+                purse.fill(opens[i])
+            if leave is not None and i >= leave:
+                purse.sell(opens[i])
+                leave = None
+            if not known[i] or leave is not None:
+                continue
+            if purse.shares == 0:
+                if all_in[i]:
+                    purse.waiting, leave = (float("inf"), True), i + 2
+                elif enter[i]:
+                    purse.waiting = (0.25 * purse.capital, True)
                 continue
-            score = b["s_star"] + (0.0 if pd.isna(b["z"]) else b["z"])
-            if shares == 0:
-                if b["listed"] is True and b["gate"]:
-                    order, due = ("all", 1.0), i + 2
-                elif score >= 69 and b["gate"]:
-                    order = ("buy", 0.25)
-            elif due is None:
-                want = 1.0 if score >= 85 else 0.75 if score >= 80 else 0.5 if score >= 75 else 0.25
-                have = shares * price / capital
-                limit = round(g.at[i - 1, "close"] * 1.1, 2)
-                high = max(high, b["close"])
-                if want > have + 1e-9:
-                    order = ("buy", want)
-                elif (b["high"] >= limit > b["close"] or score < 35) and have > 0.51:
-                    order = ("sell", 0.5)
-                elif b["close"] <= high * 0.92 or b["close"] <= cost * 0.92 or b["close"] < g["close"].iloc[i - 4 : i + 1].mean():
-                    order = ("sell", 0.0)
-        if shares > 0:
-            cash += shares * g["open"].iloc[-1]
-        return pd.DataFrame({"code": [g["code"].iloc[0]], "final": [cash if len(g) >= 60 else capital]})
+            held, purse.high = purse.shares * opens[i] / purse.capital, max(purse.high, closes[i])
+            if share[i] > held + 1e-9:
+                purse.waiting = (share[i] * purse.capital, True)
+            elif halve[i] and held > 0.51:
+                purse.waiting = (0.5 * purse.capital, False)
+            elif weak[i] or closes[i] <= 0.92 * max(purse.high, purse.paid / purse.shares):
+                purse.waiting = (0.0, False)
+        if purse.shares > 0:
+            purse.sell(opens[-1])
+        return pd.DataFrame({"code": [g["code"].iloc[0]], "final": [purse.cash]})
 
     return rows.groupBy("code").applyInPandas(kernel, "code string, final double")
 
