@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
 from tickloom.sources.bars import SCHEMA, read_bars, upsert, write_bars
-from tickloom.streaming.daily import daily_counts, run_daily
+from tickloom.streaming.daily import daily_counts, run_daily, upsert_stream
 
 BARS = [("600001", dt.date(2024, 1, k), 1.0, 2.0, 0.5, 1.5, 10.0 * k) for k in range(1, 5)] + [("000002", dt.date(2024, 1, 1), 1.0, 2.0, 0.5, 1.5, None)]
 
@@ -44,3 +44,24 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r.d, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.d, r.event_type): r.n for r in daily_counts(events).collect()}
     assert got and all(want[k] == n for k, n in got.items())  # days past the watermark only
+
+
+def test_upsert_stream_touches_only_its_buckets(spark, tmp_path):
+    schema = "code string, d int, x double"
+    source, target = str(tmp_path / "in"), str(tmp_path / "table")
+    rows = {(f"c{k}", 1): float(k) for k in range(40)}
+
+    def send(batch, replace):
+        spark.createDataFrame([(c, d, x) for c, d, x in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        upsert_stream(spark.readStream.schema(schema).parquet(source), target, ["code", "d"], str(tmp_path / "check"), replace, buckets=8).awaitTermination()
+
+    send([(c, d, x) for (c, d), x in rows.items()], True)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    send([("c3", 1, 99.0), ("c3", 1, 98.0), ("c50", 1, 5.0)], True)
+    got = {(r.code, r.d): r.x for r in spark.read.parquet(target).collect()}
+    assert got == rows | {("c3", 1): 98.0, ("c50", 1): 5.0}
+    kept = [p for p in before if p.exists()]
+    assert len(kept) >= 6 and all(p.stat().st_mtime_ns == before[p] for p in kept)
+    send([("c3", 1, 1.0), ("c60", 1, 2.0)], False)
+    got = {(r.code, r.d): r.x for r in spark.read.parquet(target).collect()}
+    assert got == rows | {("c3", 1): 98.0, ("c50", 1): 5.0, ("c60", 1): 2.0}

@@ -23,13 +23,22 @@ def run_daily(spark: SparkSession, source: str, schema, checkpoint: str, sink: s
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, replace: bool = True):
-    """Each micro-batch is merged into the table by key; a batch that runs again gives the same table."""
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, replace: bool = True, buckets: int = 64):
+    """Each micro-batch is merged into a Parquet table by key; a batch that runs again gives the same table.
+
+    The table is partitioned by a hash of the key (column ``bucket``), and a batch reads and overwrites only the buckets
+    that it touches. Of rows of a batch with one key the first by its other columns counts.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{target}/{batch_id - 1}") if batch_id else batch.limit(0)
-        upsert(old, batch.dropDuplicates(keys), keys, replace).write.mode("overwrite").parquet(f"{target}/{batch_id}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        old = spark.read.schema(new.schema).parquet(target).filter(F.col("bucket").isin(touched)) if there else new.limit(0)
+        merged = upsert(old, new, keys, replace)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
