@@ -22,8 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 #: What Spark and the comparison engine name differently.
-_SPARK = {"@percentile(": "percentile(", "@days(": "datediff(", "@list(": "array(", "@text": "STRING", "@arg_first(": "min_by(", "@pair(": "struct(", "@sha256(body)": "sha2(body, 256)"}
-_DUCK = {"@percentile(": "quantile_cont(", "@list(": "list_value(", "@text": "VARCHAR", "@arg_first(": "min_by(", "@pair(": "row(", "@sha256(body)": "sha256(body)"}
+_SPARK = {"@percentile(": "percentile(", "@days(": "datediff(", "@list(": "array(", "@text": "STRING", "@arg_first(": "min_by(", "@pair(": "struct(", "@format(": "format_string(", "@sha256(body)": "sha2(body, 256)"}
+_DUCK = {"@percentile(": "quantile_cont(", "@list(": "list_value(", "@text": "VARCHAR", "@arg_first(": "min_by(", "@pair(": "row(", "@format(": "printf(", "@sha256(body)": "sha256(body)"}
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 RELATIONS: dict[str, "Relation | Native"] = {}
