@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import full, windows
+from ..functions.scalars import MAIN_BOARD
 from ..plans.core import Native, Relation, keep, q
 
 #: Factor weights; a negative weight ranks small values high.
@@ -60,17 +61,20 @@ Relation("factor_ranks_q", "SELECT code, d, " + ", ".join(f"{q(n)} AS {n}" for n
 #: The day that scans look at unless told otherwise: the last session on which half of the securities traded. They rank
 #: rows of one session only, never a mix of days.
 AS_OF = "(SELECT max(d) FROM (SELECT d FROM {bars} GROUP BY d HAVING count(*) * 2 >= (SELECT count(DISTINCT code) FROM {bars})) s)"
-#: The ten best of that session, of securities with 300 bars and a price of 5.
+#: What a quote must say of a pick: earnings, at a multiple of at most 100, and a price of 5; days by which a score may lag.
+STALE_DAYS = 90
+_QUOTED = "pe > 0 AND pe <= 100 AND price >= 5"
+#: The best twenty of that session, of securities with 300 bars, by composite score; quotes filter after the ranking.
 Relation(
     "scan_composite",
-    f"""SELECT code, d, score, CAST(row_number() OVER (ORDER BY score DESC, code) AS INT) AS place FROM (SELECT c.code, c.d, score FROM {{composite}} c JOIN {{factor_values}} f ON f.code = c.code AND f.d = c.d JOIN (SELECT code, count(*) AS n FROM {{bars}} GROUP BY code HAVING count(*) >= 300) b ON b.code = c.code
-  WHERE c.d = {AS_OF} AND f.close >= 5 ORDER BY score DESC, c.code LIMIT 10) x""",
+    f"""SELECT code, name, d, score, price, pe, market_value, CAST(row_number() OVER (ORDER BY score DESC, code) AS INT) AS place FROM (SELECT c.code, u.name, c.d, score, price, pe, market_value FROM {{composite}} c JOIN {{quotes}} u ON u.code = c.code JOIN (SELECT code, count(*) AS n FROM {{bars}} GROUP BY code HAVING count(*) >= 300) b ON b.code = c.code
+  WHERE c.d = {AS_OF} AND {_QUOTED} AND substr(c.code, 1, 3) IN ({", ".join(f"'{p}'" for p in MAIN_BOARD)}) ORDER BY score DESC, c.code LIMIT 20) x""",
 )
-#: Latest score per security, if not stale, with a price filter.
+#: Latest score per security, not much older than the newest (the test bars end far apart), with the same quote filters.
 Relation(
     "scan_s_star",
-    f"""WITH l AS (SELECT code, d, close, s_star, gate, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}} WHERE rn >= 60), m AS (SELECT max(d) AS as_of FROM {{bars}})
-SELECT code, d, {q("s_star")} AS s_star, close FROM l JOIN m ON as_of >= d WHERE age = 1 AND @days(as_of, d) <= 90 AND gate AND close >= 5 ORDER BY {q("s_star")} DESC, code LIMIT 20""",
+    f"""WITH l AS (SELECT code, d, s_star, gate, m_score, f_score, p_score, q_score, row_number() OVER (PARTITION BY code ORDER BY d DESC) AS age FROM {{scores}} WHERE rn >= 60), m AS (SELECT max(d) AS as_of FROM l)
+SELECT l.code, name, l.d, {q("s_star")} AS s_star, gate, m_score, f_score, p_score, q_score, price, pe, market_value FROM l JOIN m ON as_of >= l.d JOIN {{quotes}} u ON u.code = l.code WHERE age = 1 AND @days(as_of, l.d) <= {STALE_DAYS} AND {_QUOTED} AND substr(l.code, 1, 3) IN ({", ".join(f"'{p}'" for p in MAIN_BOARD)}) ORDER BY {q("s_star")} DESC, l.code LIMIT 20""",
 )
 #: Forward returns in per cent of 1, 2, 5 and 10 bars.
 Relation("forward_returns", "SELECT code, d, " + ", ".join(f"(lead(close, {k}) OVER w / close - 1) * 100 AS after_{k}" for k in (1, 2, 5, 10)) + " FROM {bars_jumpy} WINDOW w AS (PARTITION BY code ORDER BY d)")

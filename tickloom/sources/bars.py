@@ -87,6 +87,11 @@ Relation(
     """SELECT code, y, CASE WHEN code % 13 = 1 AND y % 2 = 0 THEN NULL ELSE revenue END AS revenue, CASE WHEN code % 17 = 2 AND y % 3 = 0 THEN NULL ELSE core_profit END AS core_profit, CASE WHEN code % 19 = 3 AND y % 3 = 1 THEN NULL ELSE operating_cash_flow END AS operating_cash_flow,
   CASE WHEN code % 11 = 4 AND y % 4 = 1 THEN NULL ELSE roe END AS roe, CASE WHEN code % 23 = 5 THEN NULL ELSE debt_ratio END AS debt_ratio, CASE WHEN code % 7 = 6 THEN NULL ELSE current_ratio END AS current_ratio, code % 29 = 7 AND y % 5 = 0 AS financial FROM {reports}""",
 )
+#: Quotes of the day: price, earnings multiple (losses are negative, some unknown), market value in hundred millions.
+Relation(
+    "quotes",
+    """SELECT CAST(600000 + s_suppkey AS VARCHAR(10)) AS code, s_name AS name, CAST(3 + s_suppkey % 40 AS DOUBLE) AS price, CASE WHEN s_suppkey % 11 = 5 THEN NULL ELSE CAST(floor(s_acctbal / 60) AS DOUBLE) END AS pe, CAST(10 + s_suppkey % 500 AS DOUBLE) AS market_value FROM {supplier}""",
+)
 #: Leaderboard rows with all that providers give; the phrases are fixed values.
 Relation(
     "leaderboard_rows",
