@@ -49,15 +49,16 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     sized = sized.withColumn("k", F.least("n", 2 * lacks(largest) + 1)).withColumn("need", F.col("k") - lacks(F.col("n")))
     sized = scratch.save(sized, "items")
     rows = sized.count()
-    sketch = sized.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("h"))).filter("r <= k").select("item", "h", "need")
+    # A hash's rank in its sketch is a bit of a mask; where ranks share bits, as many bits are asked for as that leaves.
+    sketch = sized.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("h"))).filter("r <= k")
+    sketch = sketch.select("item", "h", F.expr("shiftleft(1L, cast(r % 63 AS int))").alias("bit"), F.ceil(F.col("need") / F.ceil(F.col("k") / 63)).alias("need"))
     sketch = scratch.save(sketch, "sketch")
     top = sketch.agg(F.max("h")).first()[0]
     if top is None:
         top = -(1 << 63)
     probe = shingle_rows(docs, "d", "t", k).filter(F.col("h") <= F.lit(top))
-    hits = probe.join(_maybe_broadcast(sketch, rows), "h").select("d", "item", "h", "need").distinct()
-    hits = hits.groupBy("d", "item").agg(F.count("*").alias("_n"), F.first("need").alias("need")).filter("_n >= need").select("d", "item")
-    hits = scratch.save(hits, "hits")
+    hits = probe.join(_maybe_broadcast(sketch, rows), "h").groupBy("d", "item").agg(F.bit_or("bit").alias("bits"), F.first("need").alias("need"))
+    hits = scratch.save(hits.filter(F.bit_count("bits") >= F.col("need")).select("d", "item"), "hits")
 
     found = hits.select("d").distinct()
     n_found = found.count()
