@@ -612,6 +612,20 @@ def test_decontaminate_with_repeated_and_null_ids(spark):
     assert {k: v[1] for k, v in got.items()} == want and (None, 1) in want and (1, 1) in want and (1, None) in want
 
 
+def test_decontaminate_large_items_at_the_edge(spark):
+    """Items of hundreds of shingles, whose sketches have more hashes than a mask has bits, found at 80 % and not below."""
+    r = np.random.default_rng(31)
+    docs_, items = [], []
+    for i, n in enumerate((70, 200, 400, 900)):
+        words = [f"w{x}" for x in r.integers(0, 10**6, n)]
+        items.append((i, " ".join(words)))
+        lost = (n - 4) // 5
+        for j, cut in enumerate((lost, lost + 1, lost + 2)):  # a run cut off the end costs one shingle a word
+            docs_.append((10 * i + j, "before it " + " ".join(words[: n - cut])))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_contained(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == set(contained(docs_, items)) and {d % 10 for d, _ in got} == {0}
+
+
 def test_clashing_names_come_out_unchanged(spark):
     """Columns named like an operator's own, in either case, keep their values."""
     names = ["_slot", "_SHARD", "_key", "_n", "_parts", "_hot", "_source", "_copies", "_cut", "_size", "_h", "_group", "_target", "_source_size", "_got", "_known", "_p", "_l", "h", "d", "t", "k", "id", "sig"]
@@ -727,3 +741,27 @@ def test_empty_pipeline(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, sf)
     assert frame.count() == 0
+
+
+# ---- components ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [500_000, 1])
+def test_components(spark, few, monkeypatch):
+    from tickloom.llm import components
+    from tickloom.llm.common import Scratch
+
+    monkeypatch.setattr(components, "BROADCAST_NODES", few)
+    r = np.random.default_rng(2)
+    edges = [(0, int(k)) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(25)] + [(int(a), int(b)) for a, b in r.integers(200, 260, (40, 2))] + [(7, 7)]
+    low = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if low[x] == x else find(low[x])
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        low[q] = p
+    out = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "comp"), "c")
+    got = {x.node: x.component for x in out.collect()}
+    assert got == {x: find(x) for x in low if any(x in e and e[0] != e[1] for e in edges)}
