@@ -13,7 +13,7 @@ from .sources import bars, providers  # noqa: F401
 from .streaming import daily  # noqa: F401
 
 #: Building blocks with unrounded doubles; queries over them are registered, they aren't.
-INTERNAL = {"bar_steps", "bar_flows", "ind_rolling", "ind_cci", "ind_recursive", "ind_all", "signal_base", "signal_rows", "score_parts", "scores", "multifactor_score", "factor_j", "factor_values", "factor_ranks", "forward_returns", "front_pool", "front_masks", "es63", "risk_rows", "bar_steps_ret", "adjusted_rows", "topn_trades", "replay_rows", "ledger_all", "accounts", "trades_multifactor", "front_layer_1", "bars_adjusted", "history_quality", "atom_masks_allowed", "rebalance_ranks", "pareto_trades", "leaderboard_features", "leaderboard_heights", "batch_rows", "bar_ages", "last_bars", "provider_responses"}
+INTERNAL = {"bar_steps", "bar_flows", "ind_rolling", "ind_cci", "ind_recursive", "ind_all", "signal_base", "signal_rows", "score_parts", "scores", "multifactor_score", "factor_j", "factor_values", "factor_ranks", "forward_returns", "front_pool", "front_masks", "es63", "risk_rows", "bar_steps_ret", "adjusted_rows", "topn_trades", "replay_rows", "ledger_all", "accounts", "trades_multifactor", "front_layer_1", "front_left", "bars_adjusted", "history_quality", "atom_masks_allowed", "rebalance_ranks", "pareto_trades", "leaderboard_features", "leaderboard_heights", "batch_rows", "bar_ages", "last_bars", "provider_responses"}
 
 #: Variants of relations over other inputs (name__variant) are building blocks as well.
 NAMES = [name for name in RELATIONS if name not in INTERNAL and "__" not in name]

@@ -89,7 +89,7 @@ class Native:
 
 #: Relations that cost much and are read by several others. Where a query reads one more than once it is written
 #: once: the plan stays small, its exchanges run once, and a lost executor costs a reread.
-KEEP = {"bars", "atom_masks_allowed", "ind_all", "signal_rows", "scores", "atom_masks", "front_masks", "fronts", "factors", "factor_values", "composite", "replay_rows", "ledger_all", "accounts", "adjusted_rows", "rebalance_ranks"}
+KEEP = {"bars", "atom_masks_allowed", "ind_all", "signal_rows", "scores", "atom_masks", "front_pool", "front_masks", "front_left", "fronts", "factors", "factor_values", "composite", "replay_rows", "ledger_all", "accounts", "adjusted_rows", "rebalance_ranks"}
 
 
 def variant(name: str, suffix: str, swap: dict[str, str]) -> str:
