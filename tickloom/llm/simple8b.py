@@ -34,22 +34,18 @@ def _pack(values: np.ndarray) -> np.ndarray:
             wide = np.concatenate([[0], np.cumsum(values >= np.uint64(1 << width), dtype=np.int32)])
             best[: n - count + 1][wide[count:] == wide[: n - count + 1]] = s
     same = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [n]])
-    long_runs = {int(a): int(b - a) for a, b in zip(same[:-1], same[1:], strict=True) if b - a > 60 and values[a] < 1 << 32}
-    step = np.where(best >= 0, _N[best], -1).tolist()
-    at, i, runs = [], 0, []
+    length = np.diff(same)
+    long = (length > 60) & (values[same[:-1]] < 1 << 32)
+    run_at = same[:-1][long]
+    step = np.where(best >= 0, _N[best], 1)
+    step[run_at] = np.minimum(length[long], (1 << 28) - 1)
+    steps, at, i = step.tolist(), [], 0
     while i < n:
-        if i in long_runs:
-            r = min(long_runs[i], (1 << 28) - 1)
-            runs.append((len(at), r))
-            at.append(i)
-            i += r
-            continue
         at.append(i)
-        i += step[i] if step[i] > 0 else 1
+        i += steps[i]
     start = np.array(at, np.int64)
     sel = best[start].astype(np.int64)
-    is_run = np.zeros(len(start), bool)
-    is_run[[k for k, _ in runs]] = True
+    is_run = np.isin(start, run_at)
     out = np.zeros(len(start), np.uint64)
     for s in range(14):
         rows = np.flatnonzero((sel == s) & ~is_run)
@@ -58,8 +54,8 @@ def _pack(values: np.ndarray) -> np.ndarray:
             for j in range(COUNTS[s]):
                 word |= values[start[rows] + j] << np.uint64(j * WIDTHS[s])
             out[rows] = word
-    for k, r in runs:
-        out[k] = np.uint64(RUN << 60 | r << 32) | values[at[k]]
+    for k in np.flatnonzero(is_run):
+        out[k] = np.uint64(RUN << 60 | int(step[start[k]]) << 32) | values[start[k]]
     raw = np.flatnonzero((sel < 0) & ~is_run)
     if len(raw):  # neighbouring escapes share a count word
         head = np.concatenate([[True], np.diff(raw) > 1])

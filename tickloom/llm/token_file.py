@@ -85,28 +85,34 @@ class WordEncoder:
 
     def _learn(self, keys: np.ndarray, texts: list[str], body: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """body: lanes of the words, lanes of each, bytes of each."""
-        got: list[list[int] | None] = [None] * len(texts)
+        known = np.zeros(len(texts), bool)
+        pieces: list[tuple[list[int], np.ndarray | list[int], np.ndarray]] = []  # words, their ids in turn, ids of each
         plain = [k for k, w in enumerate(texts) if w.isalpha() and (w.isascii() or w.lower().isalpha())]
         for i in range(0, len(plain), 4000):
             group = plain[i : i + 4000]
             lists = self.many([" ".join(texts[k] for k in group[j : j + 500]) for j in range(0, len(group), 500)], add_special_tokens=False)
             for j, e in zip(range(0, len(group), 500), lists, strict=True):
-                ids, part = e.ids, group[j : j + 500]
-                ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+                ids, part = np.array(e.ids, np.uint32), group[j : j + 500]
+                ends = np.flatnonzero(self.closes[ids]) + 1
                 if len(ends) == len(part) and ends[-1] == len(ids):  # each word closed once
-                    a = 0
-                    for k, b in zip(part, ends, strict=True):
-                        got[k] = ids[a:b]
-                        a = b
-        rest = [k for k, x in enumerate(got) if x is None]
+                    pieces.append((part, ids, np.diff(ends, prepend=0)))
+                    known[part] = True
+        rest = np.flatnonzero(~known).tolist()
         for i in range(0, len(rest), 4000):
-            for k, e in zip(rest[i : i + 4000], self.many([texts[k] for k in rest[i : i + 4000]], add_special_tokens=False), strict=True):
-                got[k] = e.ids
+            lists = [e.ids for e in self.many([texts[k] for k in rest[i : i + 4000]], add_special_tokens=False)]
+            pieces.append((rest[i : i + 4000], [x for ids in lists for x in ids], np.array([len(ids) for ids in lists])))
         if len(self.keys) + len(keys) > self.MOST:
             raise OverflowError
         base = len(self.ptr) - 1
-        self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32)])
-        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(g) for g in got])])
+        size = np.zeros(len(texts), np.int64)
+        for part, _, n in pieces:
+            size[part] = n
+        begin = np.cumsum(size) - size
+        fresh = np.empty(int(size.sum()), np.uint32)
+        for part, ids, n in pieces:
+            fresh[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        self.ids = np.concatenate([self.ids, fresh])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(size)])
         self.lane, self.size = np.concatenate([self.lane, body[0]]), np.concatenate([self.size, body[2]])
         self.lane_ptr = np.concatenate([self.lane_ptr, self.lane_ptr[-1] + np.cumsum(body[1])])
         where = np.searchsorted(self.keys, keys)
@@ -164,15 +170,13 @@ class WordEncoder:
         if not _alike(*body(first)[:1], np.cumsum(k[first]) - k[first], k[first], size[first], self.lane, self.lane_ptr[found], self.size[found]):
             return self._plainly(data, offsets)
         slot = found[inverse]
-        a, n = self.ptr[slot], self.ptr[slot + 1] - self.ptr[slot]
-        total = n + mark
-        out_by = np.concatenate([[0], np.cumsum(total)])
-        out = np.empty(out_by[-1], np.uint32)
-        inner = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        target = np.repeat(out_by[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out[target] = self.ids[inner]
-        out[out_by[1:][mark] - 1] = self.marks[last[mark]]
-        return out, out_by[by]
+        a = self.ptr[slot]
+        n = self.ptr[slot + 1] - a
+        ends = np.cumsum(n)
+        out = self.ids[np.repeat(a - (ends - n), n) + np.arange(int(ends[-1]))]
+        if mark.any():
+            out = np.insert(out, ends[mark], self.marks[last[mark]])
+        return out, np.concatenate([[0], ends + np.cumsum(mark)])[by]
 
 
 _encoders: dict[int, WordEncoder] = {}
