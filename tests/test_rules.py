@@ -228,3 +228,81 @@ def test_dividend_profiles_by_hand(spark):
     got = {r.k: (r.status, r.cash_per_share, r.share_multiplier) for r in RELATIONS["dividend_text"](dividend_rows=spark.createDataFrame(rows, "k int, profile string, bonus double, transfer double, cash double, progress string, ex_date date, record_date date")).collect()}
     assert got[1] == ("ok", 0.15, 1.5) and got[2] == ("ok", 0.2, 1.0)
     assert {k: v[0] for k, v in got.items() if k > 2} == {3: "conflict", 4: "repeated component", 5: "missing number", 6: "skip", 7: "no ex-date", 8: "skip", 9: "record after ex-date", 10: "unknown progress", 11: "skip"}
+
+
+def test_comprehensive_trades_by_searching_signals(made):
+    """Entry and exit signals are searched one after the other; the kernel walks the bars once."""
+    from tickloom.operators.replay import broken_neckline, net_return
+
+    got = {}
+    for t in made("backtest_comprehensive").collect():
+        got.setdefault(t.code, []).append((t.buy_d, t.sell_d, t.hold, t.reason, round(t.profit_pct, 2)))
+    found = 0
+    for code, x in by_code(made("scores")).items():
+        n, closes, want, at = len(x), [b.close for b in x], [], 60
+
+        def why(k, buy):
+            gain, age = net_return(x[buy].open, closes[k]), k - buy
+            rules = [("loss", gain < -12), ("gain", gain > 15), ("score", x[k].s_star < 35), ("fading", gain > 12 and x[k].s_star < 50), ("divergence", x[k].top)]
+            named = next((name for name, holds in rules if holds), None)
+            return named or (broken_neckline(closes[: k + 1]) if age > 10 and age % 5 == 0 else None)
+
+        while True:
+            entry = next((k for k in range(at, n - 1) if x[k].dif is not None and x[k].s_star >= 69 and x[k].gate), None)
+            leave = None if entry is None else next((k for k in range(entry + 1, n - 1) if why(k, entry + 1)), None)
+            if leave is None:
+                break
+            buy, at = entry + 1, leave + 1
+            want.append((x[buy].d, x[at].d, at - buy, why(leave, buy), round(net_return(x[buy].open, x[at].open), 2)))
+        assert sorted(got.get(code, [])) == sorted(want), code
+        found += len(want)
+    assert found >= 5
+
+
+def test_two_path_by_holdings_of_each_open(made, spark):
+    """Final cash once more, with the state as value and cost of the holding at every open."""
+    rows = by_code(made("scores"))
+    r = np.random.default_rng(3)
+    flows = {(b.code, b.d): float(r.uniform(0, 10)) for x in rows.values() for b in x if r.uniform() < 0.8}
+    listed = {(b.code, b.d) for x in rows.values() for b in x if r.uniform() < 0.05}
+    flow = spark.createDataFrame([(*k, z) for k, z in flows.items()], "code string, d date, z double")
+    marks = spark.createDataFrame([(*k, 20.0) for k in listed], "code string, d date, ratio double")
+    got = {x.code: x.final for x in RELATIONS["backtest_two_path"](scores=made("scores"), flow_score=flow, leaderboard_signals=marks).collect()}
+    moved = 0
+    for code, x in rows.items():
+        cash, held, price_paid, top, plan, until = 1e6, 0.0, 0.0, 0.0, None, None
+        for k in range(60, len(x)):
+            b, p = x[k], x[k].open
+            if plan is not None:
+                change = min(plan - held * p, cash) if plan >= held * p else plan - held * p
+                if plan_up and change > 0:
+                    price_paid = (price_paid * held + change) / (held + change / p)
+                    top = p
+                if (change > 0) == plan_up:
+                    cash, held = cash - change, held + change / p
+                plan = None
+                if held < 1e-9:
+                    held = price_paid = top = 0.0
+            if until is not None and k >= until:
+                cash, held, price_paid, top, until = cash + held * p, 0.0, 0.0, 0.0, None
+            if b.dif is None or until is not None:
+                continue
+            score = b.s_star + flows.get((code, b.d), 0.0)
+            if not held:
+                if (code, b.d) in listed and b.gate:
+                    plan, plan_up, until = 1e18, True, k + 2
+                elif score >= 69 and b.gate:
+                    plan, plan_up = 0.25e6, True
+                continue
+            share, top = (1 if score >= 85 else 0.75 if score >= 80 else 0.5 if score >= 75 else 0.25), max(top, b.close)
+            bound = round(x[k - 1].close * 1.1, 2)
+            if share * 1e6 > held * p + 1e-3:
+                plan, plan_up = share * 1e6, True
+            elif (b.high >= bound > b.close or score < 35) and held * p > 0.51e6:
+                plan, plan_up = 0.5e6, False
+            elif b.close <= top * 0.92 or b.close <= price_paid * 0.92 or b.close < sum(y.close for y in x[k - 4 : k + 1]) / 5:
+                plan, plan_up = 0.0, False
+        want = cash + held * x[-1].open
+        assert abs(got[code] - want) < 1e-3, code
+        moved += abs(want - 1e6) > 1
+    assert moved >= 3
