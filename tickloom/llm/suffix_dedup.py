@@ -12,6 +12,9 @@ fixed distances from the anchor, and dealt anew by all the bytes that the window
 are alone then. Where more than HOT different ones still meet (at the edge of a common passage of about a window), the
 hashes of their windows (128 bits) are grouped with partial aggregation.
 
+What hashes say is a claim: this span is the bytes of that earlier place. Claims that go on in one source are made one,
+the source's bytes are brought to the claim and compared. If any isn't true, all is done again with other codes of bytes.
+
 Defined results: null text is empty; texts shorter than WINDOW lose nothing but can't be a source either; a null id is
 the smallest; rows with equal ids are ordered by their text; a row per row is returned, in an empty table none; other
 columns are ignored.
@@ -84,62 +87,75 @@ class Seen:
         self.anchor, self.run = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.key, self.a = np.full(1 << bits, np.iinfo(np.int64).max), np.full(1 << bits, np.iinfo(np.int32).max, np.int32)
 
-    def repeated(self, anchor: np.ndarray, run: np.ndarray, key: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """Which of these runs are known to occur earlier in the corpus. False for others, even if they do."""
+    def repeated(self, anchor: np.ndarray, run: np.ndarray, key: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of these runs are known to occur earlier in the corpus (false for others, even if they do), and where."""
         order = np.lexsort((a, key, run, anchor))
         first = np.ones(len(order), bool)
         first[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (run[order[1:]] != run[order[:-1]])
         out = np.empty(len(order), bool)
         out[order] = ~first
         lead = order[first]
+        source, b = np.empty(len(order), np.int64), np.empty(len(order), np.int32)
+        source[order], b[order] = np.roll(key[order], 1), np.roll(a[order], 1)  # the occurrence before: copies chain, no text is the source of all
         slot = (run[lead] & self.mask).astype(np.int64)
         earlier = (self.key[slot] < key[lead]) | ((self.key[slot] == key[lead]) & (self.a[slot] < a[lead]))
         hit = (self.anchor[slot] == anchor[lead]) & (self.run[slot] == run[lead]) & earlier
         out[lead[hit]] = True
+        source[lead[hit]], b[lead[hit]] = self.key[slot[hit]], self.a[slot[hit]]
         slot, lead = slot[~hit], lead[~hit]
         self.anchor[slot], self.run[slot], self.key[slot], self.a[slot] = anchor[lead], run[lead], key[lead], a[lead]
-        return out
+        return out, source, b
 
 
-def _joined(text: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs in order of text and start, with those that follow each other made one: (text, start, number of starts)."""
+def _joined(key: np.ndarray, a: np.ndarray, n: np.ndarray, source: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs in order of key and start, with those made one that follow each other here and in their source."""
     new = np.ones(len(a), bool)
-    new[1:] = (text[1:] != text[:-1]) | (a[1:] != a[:-1] + n[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1] + n[:-1]) | (source[1:] != source[:-1]) | (b[1:] - b[:-1] != a[1:] - a[:-1])
     at = np.flatnonzero(new)
-    return text[at], a[at], np.add.reduceat(n, at) if len(at) else n
+    return key[at], a[at], np.add.reduceat(n, at) if len(at) else n, source[at], b[at]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs to be dealt by anchor. Those that the task knows to be repeats are joined to long ones, with n negative and dealt anywhere."""
-    seen = Seen()
-    for b in batches:
-        data, offsets = flat(b.column("text"))
-        keys = b.column("key").to_numpy()
-        for i, j in blocks(offsets):
-            t, a, n, anchor, run = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if len(t):
-                copy = seen.repeated(anchor, run, keys[i + t], a.astype(np.int32))
-                ct, ca, cn = _joined(t[copy], a[copy], n[copy])
-                ck, new = keys[i + ct], ~copy
-                spread = mix(ck.astype(np.uint64) * np.uint64(31) + ca.astype(np.uint64))
-                columns = (
-                    np.concatenate([anchor[new], spread]).view(np.int64), np.concatenate([run[new], np.zeros(len(ck), np.uint64)]).view(np.int64), np.concatenate([keys[i + t[new]], ck]),
-                    np.concatenate([a[new], ca]).astype(np.int32), np.concatenate([n[new], -cn]).astype(np.int32),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "run", "key", "a", "n"])
+#: Codes of bytes before they are hashed, one table a try: if a claim of equality isn't true, other codes are taken.
+CODES = [np.arange(256, dtype=np.uint8), *(np.random.default_rng(k).permutation(256).astype(np.uint8) for k in range(21, 24))]
+
+
+def _runs(code: np.ndarray):
+    """Runs to be dealt by anchor. Those that the task knows to be repeats are joined to long ones, dealt anywhere, with n negative and their source."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            data, offsets = flat(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            for i, j in blocks(offsets):
+                t, a, n, anchor, run = runs(code[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
+                if len(t):
+                    copy, source, b = seen.repeated(anchor, run, keys[i + t], a.astype(np.int32))
+                    ck, ca, cn, cs, cb = _joined(keys[i + t[copy]], a[copy], n[copy], source[copy], b[copy].astype(np.int64))
+                    new = ~copy
+                    spread = mix(ck.astype(np.uint64) * np.uint64(31) + ca.astype(np.uint64))
+                    columns = (
+                        np.concatenate([anchor[new], spread]).view(np.int64), np.concatenate([run[new].view(np.int64), cs]), np.concatenate([keys[i + t[new]], ck]), np.concatenate([a[new], ca]).astype(np.int32),
+                        np.concatenate([n[new], -cn]).astype(np.int32), np.concatenate([np.zeros(int(new.sum()), np.int64), cb]).astype(np.int32),
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "run", "key", "a", "n", "b"])
+
+    return run_
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, run, key, a): repeats of a run (copy), and the first of each run whose anchor has several.
+    """Of rows sorted by (anchor, run, key, a): repeats of a run (copy) with the place of the one before, and the first of each run whose anchor has several.
 
     Rows with negative n are known repeats and only pass through.
     """
+    names = ["copy", "anchor", "key", "a", "n", "source", "b"]
     anchor = run = pending = None  # pending: the only run so far of the last anchor
+    before = np.zeros(1, np.int64), np.zeros(1, np.int32)
     for b in batches:
         known = pc.less(b.column("n"), 0)
         if pc.any(known).as_py():
             c = b.filter(known)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(c.num_rows, bool)), c.column("anchor"), c.column("key"), c.column("a"), pc.negate(c.column("n"))], names=["copy", "anchor", "key", "a", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(c.num_rows, bool)), c.column("anchor"), c.column("key"), c.column("a"), pc.negate(c.column("n")), c.column("run"), c.column("b")], names=names)
             b = b.filter(pc.invert(known))
         m = b.num_rows
         if not m:
@@ -158,18 +174,22 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on:
             many[0] = firsts[0] >= 1  # the anchor had a run before
         keep = ~new_r | many[group]
-        out = [b.filter(pa.array(keep)).add_column(0, "copy", pa.array(~new_r[keep]))]
+        key, start = b.column("key").to_numpy(), b.column("a").to_numpy()
+        source, place = np.concatenate([before[0], key[:-1]]), np.concatenate([before[1], start[:-1]])
+        before = key[-1:], start[-1:]
+        b = pa.RecordBatch.from_arrays([pa.array(~new_r), b.column("anchor"), b.column("key"), b.column("a"), b.column("n"), pa.array(source), pa.array(place.astype(np.int32))], names=names)
+        out = [b.filter(pa.array(keep))]
         if goes_on and firsts[0] and pending is not None:
             out.insert(0, pending)
         if group[-1] > 0 or not goes_on:
             at = int(np.flatnonzero(new_r & (group == group[-1]))[0])
-            pending = None if many[group[-1]] else b.slice(at, 1).add_column(0, "copy", pa.array([False]))
+            pending = None if many[group[-1]] else b.slice(at, 1)
         elif firsts[0]:
             pending = None
         anchor, run = x[-1], r[-1]
         for o in out:
             if o.num_rows:
-                yield o.select(["copy", "anchor", "key", "a", "n"])
+                yield o
 
 
 def _spans(keys: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
@@ -250,38 +270,70 @@ def parts(data: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray
     return a, count, mix(common ^ mix(anchor[owner] + step.astype(np.uint64))), span_hash(prefix, a - base, a - base + count + WINDOW - 1)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(code: np.ndarray):
     """Parts of the runs of each document, as runs with another anchor."""
-    for b in batches:
-        for k, t, rs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist(), strict=True):
-            data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            rs = sorted((r["a"], r["n"], r["anchor"]) for r in rs)
-            for lo in range(0, len(rs), 1024):
-                start, n, anchor = (np.array(c, np.int64) for c in zip(*rs[lo : lo + 1024], strict=True))
-                a, count, x, run = parts(data, start, n, anchor.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(run.view(np.int64)), pa.array(np.full(len(a), k)), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "run", "key", "a", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t, rs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist(), strict=True):
+                data = code[np.frombuffer((t.as_py() or "").encode(), np.uint8)]
+                rs = sorted((r["a"], r["n"], r["anchor"]) for r in rs)
+                for lo in range(0, len(rs), 1024):
+                    start, n, anchor = (np.array(c, np.int64) for c in zip(*rs[lo : lo + 1024], strict=True))
+                    a, count, x, content = parts(data, start, n, anchor.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(content.view(np.int64)), pa.array(np.full(len(a), k)), pa.array(a.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(np.zeros(len(a), np.int32))], names=["anchor", "run", "key", "a", "n", "b"])
+
+    return run
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _windows(code: np.ndarray):
     """Hashes of all windows of the runs of each document."""
-    for b in batches:
-        for k, t, rs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist(), strict=True):
-            data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            for lo in range(0, len(rs), 256):
-                part = rs[lo : lo + 256]
-                n = np.array([r["n"] for r in part])
-                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat([r["a"] for r in part], n) + inner
-                base, top = int(start.min()), int(start.max()) + WINDOW
-                x, y = (span_hash(prefix_hash(d), start - base, start - base + WINDOW) for d in (data[base:top], _OTHER[data[base:top]]))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(len(start), k)), pa.array(start.astype(np.int32))], names=["x", "y", "key", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t, rs in zip(b.column("key").to_pylist(), b.column("text"), b.column("runs").to_pylist(), strict=True):
+                data = code[np.frombuffer((t.as_py() or "").encode(), np.uint8)]
+                for lo in range(0, len(rs), 256):
+                    part = rs[lo : lo + 256]
+                    n = np.array([r["n"] for r in part])
+                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    start = np.repeat([r["a"] for r in part], n) + inner
+                    base, top = int(start.min()), int(start.max()) + WINDOW
+                    x, y = (span_hash(prefix_hash(d), start - base, start - base + WINDOW) for d in (data[base:top], _OTHER[data[base:top]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.full(len(start), k)), pa.array(start.astype(np.int32))], names=["x", "y", "key", "a"])
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a key's spans: those made one that go on in the same source, and those found on bytes (no source) that touch."""
+    for batch in batches:
+        lists = batch.column("spans")
+        spans = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+        a, z = (spans.field(c).to_numpy().astype(np.int64) for c in ("a", "z"))
+        claimed = spans.field("source").is_valid().to_numpy(zero_copy_only=False)
+        source, b = (spans.field(c).fill_null(0).to_numpy().astype(np.int64) for c in ("source", "b"))
+        shift = np.where(claimed, b - a, 0)
+        order = np.lexsort((a, shift, source, claimed, row))
+        row, a, z, claimed, source, b, shift = (x[order] for x in (row, a, z, claimed, source, b, shift))
+        other = np.ones(len(row), bool)
+        other[1:] = (row[1:] != row[:-1]) | (claimed[1:] != claimed[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])
+        far = np.int64(1 << 40) * np.cumsum(other)
+        new = other.copy()
+        new[1:] |= a[1:] > np.maximum.accumulate(z + far)[:-1] - far[1:]
+        at = np.flatnonzero(new)
+        columns = (batch.column("key").to_numpy()[row[at]], a[at].astype(np.int32), np.maximum.reduceat(z, at).astype(np.int32) if len(at) else z.astype(np.int32))
+        gone = ~claimed[at]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(source[at], mask=gone), pa.array(b[at].astype(np.int32), mask=gone)], names=["key", "a", "z", "source", "b"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for t, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
             data = (t.as_py() or "").encode()
+            sound = all(s["body"] is None or s["body"] == data[s["a"] : s["z"]] for s in spans or [])
             kept, at, gone, count, end = [], 0, 0, 0, -1
             for s in sorted((s["a"], s["z"]) for s in spans or []):
                 if s[0] > end:
@@ -292,13 +344,17 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone += s[1] - end
                     at = end = s[1]
             kept.append(data[at:])
-            for c, v in zip(rows, (len(data), gone, count, hashlib.sha256(b"".join(kept)).hexdigest()), strict=True):
+            for c, v in zip(rows, (len(data), gone, count, hashlib.sha256(b"".join(kept)).hexdigest(), sound), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "sound"])
+
 
+def repeated_spans(docs: DataFrame, scratch: Scratch, code: np.ndarray = CODES[0]) -> DataFrame:
+    """(key, a, z, source, b): bytes a to z of text ``key`` that earlier text has, as spans that may overlap.
 
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, a, z): bytes a to z of text ``key`` that earlier text has, as spans that may overlap. docs has key and text."""
+    A span with a source is claimed to be the bytes from b on of that text, by hashes; others were found on bytes.
+    docs has key and text.
+    """
     spark = docs.sparkSession
 
     def with_text(rows: DataFrame) -> DataFrame:
@@ -307,8 +363,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def sifted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """Of runs: repeats as spans, first ones of anchors that fit in a text, first ones of others if there are any."""
         dealt = rows.repartition(width(spark), "anchor").sortWithinPartitions("anchor", "run", "key", "a")
-        found = scratch.save(dealt.mapInArrow(_sift, "copy boolean, anchor long, key long, a int, n int"), name)
-        copies = found.filter("copy").select("key", "a", (F.col("a") + F.col("n") + (WINDOW - 1)).alias("z"))
+        found = scratch.save(dealt.mapInArrow(_sift, "copy boolean, anchor long, key long, a int, n int, source long, b int"), name)
+        copies = found.filter("copy").select("key", "a", (F.col("a") + F.col("n") + (WINDOW - 1)).alias("z"), "source", "b")
         firsts = found.filter("NOT copy").select("anchor", "key", "a", "n")
         hot = scratch.save(firsts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("anchor"), f"{name}-hot")
         n_hot = hot.count()
@@ -316,22 +372,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return (copies, firsts.join(side, "anchor", "left_anti"), firsts.join(side, "anchor", "left_semi")) if n_hot else (copies, firsts, None)
 
     with small_batches(spark):
-        schema = "anchor long, run long, key long, a int, n int"
-        spans, cold, hot = sifted(docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs, schema), "found")
+        schema = "anchor long, run long, key long, a int, n int, b int"
+        spans, cold, hot = sifted(docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_runs(code), schema), "found")
         if hot is not None:
-            copies, more, hot = sifted(with_text(hot).mapInArrow(_parts, schema), "parts")
+            copies, more, hot = sifted(with_text(hot).mapInArrow(_parts(code), schema), "parts")
             spans, cold = spans.union(copies), cold.union(more)
         cut = with_text(cold).mapInArrow(_cut, "anchor long, key long, a int, body binary")
-        spans = spans.union(scratch.save(cut.repartition(width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "key long, a int, z int"), "edges"))
+        spans = spans.union(scratch.save(cut.repartition(width(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_expand, "key long, a int, z int"), "edges").select("key", "a", "z", F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("b")))
         if hot is not None:
-            windows = scratch.save(with_text(hot).mapInArrow(_windows, "x long, y long, key long, a int"), "windows")
+            windows = scratch.save(with_text(hot).mapInArrow(_windows(code), "x long, y long, key long, a int"), "windows")
             first = windows.groupBy("x", "y").agg(F.min(F.struct("key", "a")).alias("f"), F.count("*").alias("c")).filter("c > 1").select("x", "y", "f")
             late = windows.join(first, ["x", "y"]).filter(F.struct("key", "a") > F.col("f"))
-            spans = spans.union(late.select("key", "a", (F.col("a") + WINDOW).alias("z")))
+            spans = spans.union(late.select("key", "a", (F.col("a") + WINDOW).alias("z"), F.col("f.key").alias("source"), F.col("f.a").alias("b")))
     return spans
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str, text_col: str, codes: list[np.ndarray] = CODES) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -341,6 +397,23 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         docs = docs.withColumn("key", key)
     else:  # ids repeat: number the rows in order of id and text
         docs = scratch.save(docs.repartitionByRange(width(spark), key, "text").sortWithinPartitions(key, "text").withColumn("key", F.monotonically_increasing_id()), "numbered")
-    spans = repeated_spans(docs, scratch).groupBy("key").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    for code in codes:
+        out = _remove(docs, scratch, code)
+        if out.filter("NOT sound").isEmpty():
+            return out.drop("sound").withColumnRenamed("doc_id", id_col)
+    raise RuntimeError("hashes of different bytes agree, whatever their code")
+
+
+def _remove(docs: DataFrame, scratch: Scratch, code: np.ndarray) -> DataFrame:
+    """Rows of the result, and whether every claim of equality is true of the bytes: those of the source come to the claim."""
+    spark = docs.sparkSession
     with small_batches(spark):
-        return scratch.save(docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("doc_id", id_col), "out")
+        spans = repeated_spans(docs, scratch, code).groupBy("key").agg(F.collect_list(F.struct("a", "z", "source", "b")).alias("spans"))
+        merged = scratch.save(spans.mapInArrow(_merge, "key long, a int, z int, source long, b int"), "merged")
+        claims = merged.filter("source IS NOT NULL")
+        sources = scratch.save(claims.select(F.col("source").alias("key")).distinct(), "sources")
+        texts = docs.join(F.broadcast(sources) if sources.count() <= BROADCAST_ANCHORS else sources, "key", "left_semi").select(F.col("key").alias("source"), F.encode("text", "utf-8").alias("bytes"))
+        proven = claims.join(texts, "source").select("key", "a", "z", F.substring("bytes", F.col("b") + 1, F.col("z") - F.col("a")).alias("body"))
+        found = merged.filter("source IS NULL").select("key", "a", "z", F.lit(None).cast("binary").alias("body"))
+        spans = proven.union(found).groupBy("key").agg(F.collect_list(F.struct("a", "z", "body")).alias("spans"))
+        return scratch.save(docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sound boolean"), "out")
