@@ -30,5 +30,5 @@ def test_same_rows(spark, con, sf, name):
 def test_registry_has_sql_for_all_but_stateful_queries():
     """What has no SQL walks trades or accounts bar by bar; plain versions of those are in test_kernels and test_rules."""
     stateful = {"patterns", "backtest_comprehensive", "backtest_macd_legacy", "backtest_two_path", "ledger_risk", "ledger_trend", "ledger_benchmark", "sub_scores"}
-    over_them = {"backtest_comprehensive_summary", "backtest_macd_legacy_summary", "category_summary", "batch_leaders", "nav_curve", "totals", "selected_trial", "annual", "ledger_check", "population_gaps", "paired_versions"}
+    over_them = {"backtest_comprehensive_summary", "backtest_macd_legacy_summary", "category_summary", "batch_leaders", "nav_curve", "totals", "selected_trial", "annual", "ledger_check", "population_gaps", "paired_versions", "chart_marks"}
     assert set(catalog.queries()) - set(catalog.oracle_sql()) <= stateful | over_them
