@@ -76,3 +76,39 @@ def test_replays_judge_adjusted_bars():
 def test_rows_of_replays_go_into_one_walk(name):
     found = core.uses(name)
     assert found.get("replay_rows") == 1 and not {"signal_rows", "ind_all"} & core.KEEP
+
+
+def nodes(df):
+    """Names of the nodes of the first plan, before any stage has run."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        p = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p
+        found.append(p.nodeName())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["bars_sparse", "bars_jumpy", "bars", "regime"])
+def test_bars_are_dealt_once(spark, sf, name):
+    assert nodes(catalog.queries()[name](spark, sf)).count("Exchange") == 1
+
+
+def test_two_path_walks_rows_where_they_are(spark, sf):
+    quick = catalog.queries()["backtest_two_path"](spark, sf)
+    assert "MapInPandas" in nodes(quick) and nodes(quick).count("Exchange") <= 6
+    plain = core.build(spark, sf, "backtest_two_path")
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_walks_in_place_need_whole_codes_whatever_the_batches():
+    from tickloom.operators.replay import in_place
+
+    rows = pd.DataFrame({"code": ["a"] * 70 + ["b"] * 3 + [None] * 50, "rn": [*range(1, 71), 1, 2, 3, *range(1, 51)]})
+    walk = lambda g: pd.DataFrame({"code": [g["code"].iloc[0]], "n": [len(g)]})
+    run = lambda x, n: [tuple(r) for p in in_place(walk)(x.iloc[i : i + n] for i in range(0, len(x), n)) for r in p.itertuples(index=False)]
+    for n in (1, 7, 70, 1000):
+        assert run(rows, n) == [("a", 70), ("b", 3), (None, 50)]
+    for broken in (rows.iloc[1:], rows.iloc[::-1], rows.drop(index=5)):
+        with pytest.raises(ValueError, match="in order"):
+            run(broken, 1000)

@@ -81,7 +81,8 @@ z AS (SELECT x.*, r2, streak FROM x JOIN s USING (code, d) LEFT JOIN c2 USING (c
 _flow_groups("flow_groups", "true", "nc / close - 1")
 #: As first published: the top rank is not in the last bucket, and the next day's return is upside down (today over tomorrow).
 _flow_groups("flow_groups_legacy", "r < 1.0", "close / nc - 1")
-Relation("flow_score", f"WITH r AS ({_RANKS}) SELECT code, d, {q('r * 10')} AS z FROM r")
+_SCORE = f"WITH r AS ({_RANKS}) SELECT code, d, {q('r * 10')} AS z FROM r"
+Relation("flow_score", _SCORE.replace("{fund_flow}", "{flow_by_day}"), oracle=_SCORE)
 #: Leaderboard rows by height of the limit-up streak (a missing streak is 0), for strong net buying, then for low turnover
 #: (up to the median) as well; fewer than 30 rows have no figures.
 _HEIGHTS = {

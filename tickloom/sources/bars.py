@@ -56,12 +56,18 @@ z AS (SELECT code, d, v, b, c, floor(coalesce(lag(c) OVER (PARTITION BY code ORD
 SELECT code, d, o AS open, floor(greatest(o, c) * (1 + b * 0.1) * 10000 + 0.5) / 10000 AS high,
   floor(least(o, c) * (1 - b * 0.1) * 10000 + 0.5) / 10000 AS low, c AS close, v AS volume FROM z"""
 
+#: In Spark a row is dealt once, by the code of its bar; sums by code and day and the windows over them follow in place.
+_KEYS = "CAST(600000 + l_suppkey AS VARCHAR(10)) AS code, CAST(l_shipdate AS DATE) AS d"
+_DEALT = _WALK.replace(_KEYS, "code, d").replace("{lineitem}", f"(SELECT /*+ REPARTITION(code) */ {_KEYS}, l_quantity, l_discount, l_tax FROM {{lineitem}}) l")
+
 #: Bars of the test tables: quiet, jumpy (with limit-ups), and on a dense calendar.
-Relation("bars_sparse", _WALK.replace("STEP", "0.03"))
-Relation("bars_jumpy", _WALK.replace("STEP", "0.12"))
+Relation("bars_sparse", _DEALT.replace("STEP", "0.03"), oracle=_WALK.replace("STEP", "0.03"))
+Relation("bars_jumpy", _DEALT.replace("STEP", "0.12"), oracle=_WALK.replace("STEP", "0.12"))
 Relation("bars", "SELECT code, DATE '2022-04-01' + CAST(row_number() OVER (PARTITION BY code ORDER BY d) - 1 AS INT) AS d, open, high, low, close, volume FROM {bars_sparse}")
 Relation("calendar", "SELECT d, CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS ci FROM (SELECT DISTINCT d FROM {bars}) x")
 Relation("fund_flow", "SELECT CAST(600000 + l_suppkey AS VARCHAR(10)) AS code, CAST(l_shipdate AS DATE) AS d, sum(CASE l_returnflag WHEN 'N' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END) AS main_net FROM {lineitem} GROUP BY 1, 2")
+#: The same for ranks of a day: a row is dealt once, by its day.
+Relation("flow_by_day", f"SELECT code, d, sum(net) AS main_net FROM (SELECT /*+ REPARTITION(d) */ {_KEYS}, CASE l_returnflag WHEN 'N' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END AS net FROM {{lineitem}}) l GROUP BY 1, 2")
 Relation(
     "leaderboard",
     """SELECT CAST(600000 + l_suppkey AS VARCHAR(10)) AS code, CAST(l_shipdate AS DATE) AS list_date, concat(l_returnflag, l_linestatus) AS reason,
